@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partgraph.llm import mix
+from partgraph.llm import licenses, matroska, mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mix.op2_mix_sources,
+    "op3_media_columns": matroska.op3_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {
