@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partgraph.llm import licenses, matroska, mix
+from partgraph.llm import chat, licenses, matroska, mix, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mix.op2_mix_sources,
     "op3_media_columns": matroska.op3_media_columns,
+    "op4_chat_format": chat.op4_chat_format,
+    "op6_quality": quality.op6_quality,
+    "op7_secret_scan": secrets.op7_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
