@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partgraph.llm import chat, licenses, matroska, mix, quality, secrets
+from partgraph.llm import chat, decontaminate, licenses, line_dedup, matroska, mix, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mix.op2_mix_sources,
     "op3_media_columns": matroska.op3_media_columns,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality": quality.op6_quality,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_decontamination": decontaminate.op8_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mix.OP2_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
 }
