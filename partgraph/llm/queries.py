@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partgraph.llm import chat, decontaminate, licenses, line_dedup, matroska, mix, quality, secrets
+from partgraph.llm import chat, decontaminate, licenses, line_dedup, matroska, mix, ngram_join, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -17,10 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.op6_quality,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mix.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op10_ngram_join": ngram_join.OP10_SQL,
 }
