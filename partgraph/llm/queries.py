@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partgraph.llm import chat, decontaminate, licenses, line_dedup, matroska, mix, ngram_join, quality, secrets
+from partgraph.llm import chat, decontaminate, licenses, line_dedup, matroska, mix, ngram_join, quality, secrets, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.op6_quality,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
