@@ -93,27 +93,27 @@ def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return runs.groupBy("_d").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, prefix: str = "") -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from text.
 
     Lines end with a line feed and are compared exactly. The first place of a run,
-    by (doc_id, line), keeps it. Added (and replaced if the input has them): n_lines,
-    n_removed, n_runs (maximal deleted runs), longest_run; text is the remaining
-    lines joined. Null text stays null, with 0 lines and nothing removed; an empty
+    by (doc_id, line), keeps it. Added, with ``prefix`` before their names (and
+    replaced if the input has them): n_lines, n_removed, n_runs (maximal deleted
+    runs), longest_run; text is the remaining lines joined. Null text stays null, with 0 lines and nothing removed; an empty
     text is one blank line; runs of blank lines only stay. Rows equal in doc_id and
     text are one document, all with its result. A null doc_id orders first. No rows
     give no rows. A very long text is split within its row.
     """
-    made = ("n_lines", "n_removed", "n_runs", "longest_run")
-    d = _key(docs.drop(*made, "_d")).join(removed_runs(docs, min_lines), "_d", "left")
+    made = [prefix + name for name in ("n_lines", "n_removed", "n_runs", "longest_run")]
+    d = _key(docs.drop(*made)).join(removed_runs(docs, min_lines), "_d", "left")
     runs = F.coalesce(F.col("runs"), F.array().cast("array<struct<start:int,end:int>>"))
     length = F.transform(runs, lambda r: r["end"] - r["start"])
     d = d.withColumns(
         {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines_of(F.col("text")))).cast("long"),
-            "n_removed": F.aggregate(length, F.lit(0), lambda a, x: a + x).cast("long"),
-            "n_runs": F.size(runs).cast("long"),
-            "longest_run": F.coalesce(F.array_max(length), F.lit(0)).cast("long"),
+            made[0]: F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines_of(F.col("text")))).cast("long"),
+            made[1]: F.aggregate(length, F.lit(0), lambda a, x: a + x).cast("long"),
+            made[2]: F.size(runs).cast("long"),
+            made[3]: F.coalesce(F.array_max(length), F.lit(0)).cast("long"),
         }
     )
     gaps = F.transform(
@@ -129,6 +129,20 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return d.withColumn("text", text).drop("_d", "_mask", "runs")
 
 
+def without_copied_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` with the same columns after ``dedup_lines``.
+
+    A document of which every line was a later copy goes; n_chars, if there is one,
+    is set anew where text changed.
+    """
+    p = "_dedup_"
+    d = dedup_lines(docs, min_lines, p).where((F.col(p + "n_removed") == 0) | (F.col(p + "n_removed") < F.col(p + "n_lines")))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col(p + "n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        d = d.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    return d.select(*docs.columns)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its lines, what was deleted, and a digest of the rest."""
     d = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))

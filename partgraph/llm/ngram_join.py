@@ -53,11 +53,19 @@ def _fingerprints(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 # --- the first pass: sizes, fingerprints, counts ------------------------------
 
-_FIRST = "doc_id long, n long, node long, slice int, counts binary"
+_FIRST = "doc_id long, k long, n long, node long, slice int, counts binary"
+
+
+def row_key():
+    """A hash of doc_id and text."""
+    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _describe(docs: DataFrame, join: Join) -> DataFrame:
-    """A row (doc_id, n, node) for each text, and the partition's part of the count sketch in slices."""
+    """A row (doc_id, k, n, node) for each text, and the partition's part of the count sketch in slices.
+
+    k tells apart the rows of one doc_id.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _FIRST.split(", ")]
@@ -65,16 +73,16 @@ def _describe(docs: DataFrame, join: Join) -> DataFrame:
         for batch in batches:
             for a, b, bounds, hashes in _sets(batch.column(1), join.width):
                 sketch += np.bincount((hashes >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
-                ids = batch.column(0).slice(a, b - a).cast(pa.int64())
+                ids = [batch.column(i).slice(a, b - a).cast(pa.int64()) for i in (0, 2)]
                 n = pa.array(np.diff(bounds).astype(np.int64))
                 nothing = [pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())]
-                yield pa.RecordBatch.from_arrays([ids, n, pa.array(_fingerprints(bounds, hashes)), *nothing], names)
+                yield pa.RecordBatch.from_arrays([*ids, n, pa.array(_fingerprints(bounds, hashes)), *nothing], names)
         if sketch.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in sketch.reshape(SLICES, -1)]
-            empty = [pa.nulls(SLICES, pa.int64())] * 3
+            empty = [pa.nulls(SLICES, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return with_text(docs, "doc_id").mapInArrow(work, _FIRST)
+    return with_text(docs, "doc_id").withColumn("k", row_key()).mapInArrow(work, _FIRST)
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
@@ -350,13 +358,25 @@ def components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     0 shingles, their own component. A null doc_id takes part, but is nobody's
     smallest. Repeated rows repeat. Extra columns are left out. No rows: no rows.
     """
+    named = _rooted(docs, join)
+    least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("least"))
+    out = named.join(least, "root", "left")
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def _rooted(docs: DataFrame, join: Join) -> DataFrame:
+    """(doc_id, k, n, root): root is the same for the rows of a component."""
     described = cut(_describe(docs, join))
-    base = described.where(F.col("slice").isNull()).select("doc_id", "n", "node")
+    base = described.where(F.col("slice").isNull()).select("doc_id", "k", "n", "node")
     links = _candidates(docs, join, _sketch(described))
     comps = star_components(links, cut)
     roots = comps.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()
     members = comps.select("node", F.col("root").alias("comp")).unionByName(roots)
-    chosen = base.where(F.col("n") > 0).groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
+    chosen = base.where(F.col("n") > 0).groupBy("node", "n").agg(F.min("k").alias("k"))
     members = cut(members.join(chosen, "node"))
     verified = cut(_verified(docs, members, join))
     whole = verified.where("whole").where(F.col("node") != F.col("root")).select("node", "root")
@@ -365,20 +385,13 @@ def components(docs: DataFrame, join: Join = Join()) -> DataFrame:
         edges = pieces.select(F.col("node").alias("a"), F.col("root").alias("b"))
         whole = whole.unionByName(star_components(edges, cut))
     named = base.join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "root", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return named.select("doc_id", "k", "n", "root")
 
 
 def _verified(docs: DataFrame, members: DataFrame, join: Join) -> DataFrame:
     """(node, root, whole): the components found by the prefix trees."""
-    # One text of each member node; rows of one doc_id with other texts fall out by their node.
-    picked = members.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).alias("m")
-    texts = with_text(docs, "doc_id").join(picked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_node", "text")
+    # One text of each member node; equal rows give equal sets, of which a tree takes one.
+    texts = with_text(docs.withColumn("k", row_key()), "k").join(members.select("k", "node"), "k").select("node", "text")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,14 +417,22 @@ def _verified(docs: DataFrame, members: DataFrame, join: Join) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, join: Join = Join(5, 80)) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest doc_id.
+    """``docs`` with one row of each component: that of the smallest doc_id, then text hash; nulls last.
 
-    Rows without shingles stay. Of rows of one doc_id in a component one stays, that
-    of the smallest text hash; a null doc_id stays only alone in its component.
+    Rows without shingles all stay. Columns stay as they are.
     """
-    found = components(docs, join).select("doc_id", "component_id").distinct()
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    named = cut(_rooted(docs, join)).where(F.col("n") > 0)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k")))
+    kept = named.groupBy("root").agg(best.alias("best")).select("root", F.col("best.k").alias("best"))
+    lost = named.join(kept, "root").where(F.col("k") != F.col("best")).select(F.col("k").alias("_k")).distinct()
+    keyed = docs.withColumn("_k", row_key())
+    out = keyed.join(lost, "_k", "left_anti")
+    # Rows equal in doc_id and text have one key; few inputs have any.
+    twice = named.groupBy(F.col("k").alias("_k")).count().where("count > 1").select("_k")
+    if not twice.isEmpty():
+        again = out.join(twice, "_k", "left_semi").dropDuplicates(["_k"])
+        out = out.join(twice, "_k", "left_anti").unionByName(again)
+    return out.drop("_k")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
