@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import documents, table
+from partgraph.llm.common import cut, documents, table
 
 #: Words of a shingle, and the share of an item's shingles that makes a find.
 WIDTH, THRESHOLD = 5, 0.8
@@ -69,19 +69,20 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     tables: no pairs.
     """
     d = docs.select(
-        F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")).alias("_d"),
-        words(F.col("text")).alias("w"),
+        F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")).alias("_d"), "text"
     )
-    # An item is known by its id and text, so that a null or repeated id stays one item.
-    i = items.select(F.struct("item_id", "text").alias("item_id"), words(F.col("text")).alias("w"))
+    # An item is known by its id and text's hash, so that a null or repeated id stays one item.
+    i = items.select(F.struct("item_id", F.xxhash64("text").alias("h")).alias("item_id"), words(F.col("text")).alias("w"))
     i = i.where(F.size("w") >= WIDTH).dropDuplicates(["item_id"])
     sketch = sketches(i, threshold).groupBy("hash").agg(F.collect_set("item_id").alias("found"))
-    probes = d.select("_d", F.explode(shingle_hashes("w")).alias("hash"))
+    probes = d.select("_d", words(F.col("text")).alias("w")).select("_d", F.explode(shingle_hashes("w")).alias("hash"))
     small = sketch.count() <= MOST_BROADCAST
     met = probes.join(F.broadcast(sketch) if small else sketch, "hash")
-    pairs = met.select("_d", F.explode("found").alias("item_id")).distinct()
-    # The texts of the documents met, once each.
-    texts = d.join(pairs.select("_d").distinct(), "_d").dropDuplicates(["_d"]).select("_d", shingle_texts("w").alias("has"))
+    # Kept, because the texts are chosen by them and then joined with them.
+    pairs = cut(met.select("_d", F.explode("found").alias("item_id")).distinct())
+    # The texts of the documents met, once each; words are made after the join.
+    texts = d.join(pairs.select("_d").distinct(), "_d").dropDuplicates(["_d"])
+    texts = texts.select("_d", words(F.col("text")).alias("w")).select("_d", shingle_texts("w").alias("has"))
     wanted = i.select("item_id", shingle_texts("w").alias("wants"))
     wanted = wanted.select("item_id", "wants", F.size("wants").alias("n_item"))
     checked = pairs.join(F.broadcast(wanted) if small else wanted, "item_id").join(texts, "_d")
