@@ -19,6 +19,9 @@ from partgraph.operators.star_components import star_components
 SKETCH, SLICES = 1 << 18, 16
 #: Sets of up to so many bytes meet in one prefix tree.
 BLOCK = 32 << 20
+#: Shingles that a pair must share in its prefixes; a shingle of more rows than
+#: FEW links its sets by a star rather than pair by pair.
+SHARED, FEW = 3, 32
 
 
 @dataclass(frozen=True)
@@ -29,8 +32,8 @@ class Join:
     percent: int = 85
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
-        """How many first shingles of a set must meet those of a linked one."""
-        return n - (self.percent * n + 99) // 100 + 1
+        """How many first shingles of a set share SHARED with those of a linked one (or all that is needed, if less)."""
+        return np.minimum(n, n - (self.percent * n + 99) // 100 + SHARED)
 
     def needed(self, a, b):
         """The least overlap of linked sets of these sizes."""
@@ -104,7 +107,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, join: Join, sketch: np.ndarray) -> DataFrame:
-    """(token, node): the first shingles of each set in the global order, rare ones first.
+    """(token, node, n): the first shingles of each set in the global order, rare ones first.
 
     The order is (count of the sketch slot, hash): the same for all sets, which is
     all that the prefix filter needs; counts only make it selective.
@@ -122,18 +125,42 @@ def _prefixes(docs: DataFrame, join: Join, sketch: np.ndarray) -> DataFrame:
                 keep = place < join.prefix(n)[row]
                 tokens, owner = hashes[order][keep].view(np.int64), row[keep]
                 node = _fingerprints(bounds, hashes)[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(node)], ["token", "node"])
+                columns = [pa.array(tokens), pa.array(node), pa.array(n[owner].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n"])
 
-    return with_text(docs).mapInArrow(work, "token long, node long")
+    return with_text(docs).mapInArrow(work, "token long, node long, n int")
 
 
 def _candidates(docs: DataFrame, join: Join, sketch: np.ndarray) -> DataFrame:
-    """(a, b): links that connect all sets which share a prefix shingle, a star for each shingle."""
+    """(a, b): links whose components hold every pair of sets that can link.
+
+    Sets that link share SHARED shingles of their prefixes (or all that they need,
+    if less), and their sizes are within the threshold. Shingles of few rows are
+    paired out and pairs counted: chance pairs share one or two, so they don't tie
+    the corpus together. If one of the shared shingles has many rows, the two meet
+    in its star instead: all sets of that shingle and of one or two neighbouring
+    size classes are linked to the smallest, with one row a set.
+    """
     prefixes = _prefixes(docs, join, sketch)
-    shared = prefixes.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("other"))
-    shared = shared.where(F.col("hub") != F.col("other")).select("token", "hub")
-    links = prefixes.join(shared, "token").where(F.col("node") != F.col("hub"))
-    return links.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    tokens = prefixes.groupBy("token").agg(
+        F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("rows")
+    )
+    tokens = tokens.where(F.col("least") != F.col("most")).select("token", (F.col("rows") > FEW).alias("many"))
+    rows = cut(prefixes.join(tokens, "token"))
+    few = rows.where(~F.col("many")).groupBy("token").agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("sets"))
+    size = lambda x: x["n"].cast("long")
+    fits = lambda x, y: (x["n"] > 0) & (100 * size(x) >= join.percent * size(y))
+    later = lambda x, i: F.filter(F.slice("sets", i + 2, F.size("sets")), lambda y: fits(x, y))
+    pairs = F.flatten(F.transform("sets", lambda x, i: F.transform(later(x, i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    met = few.select(F.explode(pairs).alias("p")).groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("shared"))
+    whole = 100 + join.percent
+    needed = F.floor((join.percent * (size(F.col("x")) + size(F.col("y"))) + whole - 1) / whole)
+    met = met.where(F.col("shared") >= F.least(F.lit(SHARED), needed)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    c = _size_class(F.col("n"), join.percent)
+    many = rows.where("many").select("token", "node", F.explode(F.array(c, c + 1)).alias("c"))
+    hubs = many.groupBy("token", "c").agg(F.min("node").alias("hub"))
+    stars = many.join(hubs, ["token", "c"]).where(F.col("node") != F.col("hub"))
+    return met.unionByName(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
 
 
 # --- the prefix tree --------------------------------------------------------------
