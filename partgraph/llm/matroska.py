@@ -81,7 +81,7 @@ def elements(data: bytes, at: int, end: int, ends_at: frozenset[int] = frozenset
                 if inner in ends_at:
                     break
                 length, b = vint(data, b)
-                stop = end if length is None else b + length
+                stop = end if length is None else min(b + length, end)
         yield name, at, body, stop
         at = stop
 
