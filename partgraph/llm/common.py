@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,28 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partgraph.plans.lineage import cut, shared_folder
+
+__all__ = ["cut", "shared_folder"]
+
 #: Texts are worked on in blocks of about this many bytes, so that the 8-byte
 #: temporaries of numpy stay small whatever the size of an Arrow batch.
 BLOCK_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: the session's ``spark.checkpoint.dir``.
-
-    One is made here only where the session has none (local tests).
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="partgraph-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with an eager checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}.parquet"
