@@ -286,11 +286,11 @@ def _suspects(docs: DataFrame) -> DataFrame:
     return runs.drop("again").join(grams, "gram")
 
 
-def repeated_spans(texts: DataFrame, suspects: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame, suspects: DataFrame, chosen: DataFrame) -> DataFrame:
     """(t, spans): for each text the byte runs under repeated windows, unordered and overlapping.
 
-    ``texts`` has one row (t, text) a distinct text. Window runs are cut out of the
-    texts as segments and dealt to shards by their gram, so equal windows meet; a
+    ``chosen`` (t, k) names the row k of ``texts`` (k, text) that stands for each
+    text. Window runs are cut out of those rows as segments and dealt to shards by their gram, so equal windows meet; a
     shard keeps distinct segments once and sorts their suffixes. Runs of a gram
     that more than HOT runs share are split by the hash of each window first, with
     counts aggregated before the shuffle, so that no shard is unbounded.
@@ -298,7 +298,7 @@ def repeated_spans(texts: DataFrame, suspects: DataFrame) -> DataFrame:
     per_text = suspects.groupBy("t").agg(F.collect_set(F.struct("gram", "start", "windows", "hot")).alias("runs"))
     total = suspects.agg(F.sum(F.when(~F.col("hot"), F.col("windows") + LENGTH))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
-    with_runs = texts.join(per_text, "t")
+    with_runs = texts.join(per_text.join(chosen, "t"), "k").select("t", "text", "runs")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,11 +401,9 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     )
     copies = base.groupBy("t", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("k").alias("k"))
     suspects = cut(_suspects(full))
-    # One row of each text that has suspects; exact copies of a row may still be several, and are harmless.
-    wanted = suspects.select("t").distinct().join(copies, "t").select(F.col("k"), F.col("t").alias("_t"))
     texts = full.select("k", "text")
-    chosen = texts.join(wanted, "k").select(F.col("_t").alias("t"), "text")
-    spans = cut(repeated_spans(chosen, suspects))
+    # Not cut: the texts are dealt by k once for the search and for the result.
+    spans = repeated_spans(texts, suspects, copies.select("t", "k"))
     single = copies.where(F.col("copies") == 1).select("t", "k")
     extra = ", kept binary" if keep_text else ""
 
