@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def through(roles: list[int]) -> np.ndarray:
     return total
 
 
-def path(roles: list[int], entry: int, leave: int) -> list[int]:
+def path(roles: Sequence[int], entry: int, leave: int) -> list[int]:
     """States after each turn of a least-cost way from ``entry`` to ``leave``; ties: the smaller state, earliest first."""
     togo = np.full((len(roles) + 1, 4), np.inf)
     togo[-1, leave] = 0
@@ -79,6 +80,9 @@ def path(roles: list[int], entry: int, leave: int) -> list[int]:
     return out
 
 
+_short_path = lru_cache(maxsize=100_000)(path)
+
+
 def plan(parts: list[np.ndarray]) -> list[tuple[int, int]]:
     """(entry, leave) of each part of a conversation on a least-cost way; ties: the smaller leave state."""
     togo = np.array([INSERT * len(ending(s)) for s in range(4)], float)
@@ -115,7 +119,8 @@ def render(roles: list[int], texts: list[str], entry: int, leave: int, last: boo
             done["insertions"] += 1
             s = role
 
-    for role, text, t in zip(roles, texts, path(roles, entry, leave), strict=True):
+    states = _short_path(tuple(roles), entry, leave) if len(roles) <= 16 else path(roles, entry, leave)
+    for role, text, t in zip(roles, texts, states, strict=True):
         text = text.replace("<|", "< |")
         inserted = bridge(s, t)
         done["relabels"] += role != t
@@ -135,31 +140,39 @@ def render(roles: list[int], texts: list[str], entry: int, leave: int, last: boo
     return "".join(pieces), done
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The frames of equal keys of rows sorted by them, also where a run spans batches."""
-    kept: list[pd.DataFrame] = []
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
+    """The columns of the runs of equal keys of rows sorted by them, also where a run spans batches."""
+    kept: dict[str, list] = {}
+    kept_key: tuple | None = None
     for batch in batches:
-        if batch.empty:
-            continue
-        change = np.zeros(len(batch), bool)
-        for k in keys:
-            v, w = batch[k], batch[k].shift()
-            change |= ~((v == w) | (v.isna() & w.isna())).to_numpy()
-        at = np.flatnonzero(change[1:]) + 1
-        pieces = [batch.iloc[a:b] for a, b in zip([0, *at], [*at, len(batch)], strict=True)]
-        if kept:
-            a, b = kept[-1].iloc[-1], batch.iloc[0]
-            if all(a[k] == b[k] or (pd.isna(a[k]) and pd.isna(b[k])) for k in keys):
-                kept.append(pieces.pop(0))
-            if pieces:
-                yield pd.concat(kept)
-                kept = []
-        for piece in pieces[:-1]:
-            yield piece
-        if pieces:
-            kept = [pieces[-1]]
-    if kept:
-        yield pd.concat(kept)
+        columns = batch.to_pydict()
+        key = list(zip(*(columns[k] for k in keys), strict=True))
+        at = 0
+        for i in range(1, len(key) + 1):
+            if i < len(key) and key[i] == key[at]:
+                continue
+            if kept_key == key[at]:
+                for name, values in columns.items():
+                    kept[name] += values[at:i]
+            else:
+                if kept_key is not None:
+                    yield kept
+                kept, kept_key = {name: values[at:i] for name, values in columns.items()}, key[at]
+            at = i
+    if kept_key is not None:
+        yield kept
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+
+
+def _batches(rows: Iterator[tuple], schema: str, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of a schema given as DDL."""
+    fields = [f.split() for f in schema.split(", ")]
+    while some := list(islice(rows, most)):
+        columns = zip(*some, strict=True)
+        arrays = [pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(columns, fields, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
 _ROLE = {name: i for i, name in enumerate(STATES) if i}
@@ -194,36 +207,51 @@ def repair(turns: DataFrame, part: int = PART) -> DataFrame:
     )
     rows = rows.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text")
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(batches, ["conv_id", "part"]):
-            cost = through([_ROLE.get(r, 0) for r in run["role"]])
-            yield pd.DataFrame({"conv_id": run["conv_id"].iloc[:1], "part": run["part"].iloc[:1], "way": [cost.ravel().tolist()]})
+    way_schema = "conv_id long, part long, way array<double>"
+    plan_schema = "conv_id long, part long, entry int, leave int, last boolean"
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list[float]] = {}
+
+        def rows_of() -> Iterator[tuple]:
+            for run in _runs(batches, ["conv_id", "part"]):
+                roles = tuple(_ROLE.get(r, 0) for r in run["role"])
+                way = known.get(roles)
+                if way is None:
+                    way = through(list(roles)).ravel().tolist()
+                    if len(roles) <= 16 and len(known) < 100_000:
+                        known[roles] = way
+                yield run["conv_id"][0], run["part"][0], way
 
-    def plans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(batches, ["conv_id"]):
-            found = plan([np.array(w, float).reshape(4, 4) for w in run["way"]])
-            out = run[["conv_id", "part"]].copy()
-            out["entry"], out["leave"] = [e for e, _ in found], [x for _, x in found]
-            out["last"] = [False] * (len(run) - 1) + [True]
-            yield out
+        return _batches(rows_of(), way_schema)
 
-    ways = rows.select("conv_id", "part", "role").mapInPandas(matrices, "conv_id long, part long, way array<double>")
+    def plans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of() -> Iterator[tuple]:
+            for run in _runs(batches, ["conv_id"]):
+                found = plan([np.array(w, float).reshape(4, 4) for w in run["way"]])
+                for i, (entry, leave) in enumerate(found):
+                    yield run["conv_id"][i], run["part"][i], entry, leave, i + 1 == len(found)
+
+        return _batches(rows_of(), plan_schema)
+
+    ways = rows.select("conv_id", "part", "role").mapInArrow(matrices, way_schema)
     ways = ways.repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    plan_of = ways.mapInPandas(plans, "conv_id long, part long, entry int, leave int, last boolean")
+    plan_of = ways.mapInArrow(plans, plan_schema)
     # A struct is never null, so a null conv_id joins like others.
     key = F.struct("conv_id", "part")
     joined = rows.withColumn("k", key).join(plan_of.select(key.alias("k"), "entry", "leave", "last"), "k").drop("k")
     joined = joined.sortWithinPartitions("conv_id", "part", "turn", "role", "text")
 
-    def rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(batches, ["conv_id", "part"]):
-            first = run.iloc[0]
-            roles = [_ROLE.get(r, 0) for r in run["role"]]
-            text, done = render(roles, list(run["text"]), int(first["entry"]), int(first["leave"]), bool(first["last"]))
-            row = {"conv_id": first["conv_id"], "part": first["part"], "turns_in": len(run), **done, "text": text}
-            yield pd.DataFrame([row]).astype({"conv_id": "Int64"})
+    def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of() -> Iterator[tuple]:
+            for run in _runs(batches, ["conv_id", "part"]):
+                roles = [_ROLE.get(r, 0) for r in run["role"]]
+                text, done = render(roles, run["text"], run["entry"][0], run["leave"][0], run["last"][0])
+                yield run["conv_id"][0], run["part"][0], len(roles), *done.values(), text
+
+        return _batches(rows_of(), RESULT, 200)
 
-    return joined.mapInPandas(rendered, RESULT)
+    return joined.mapInArrow(rendered, RESULT)
 
 
 def to_messages(text: str) -> list[tuple[str, str]]:
