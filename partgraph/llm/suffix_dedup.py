@@ -428,8 +428,10 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     runs_of = texts.join(single.join(spans, "t").select("k", "spans"), "k")
     changed = runs_of.mapInArrow(removed, "k long, n_removed long, n_spans long, sha_kept string" + extra)
-    out = base.join(copies.select("t", "t2", "copies"), ["t", "t2"]).join(changed, "k", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    # A row is the only one of its text if its key is a single's: copies of a text needn't meet to know it.
+    known = single.select("k", F.lit(True).alias("single")).join(changed, "k", "left")
+    out = base.join(known, "k", "left")
+    whole = F.col("single").isNull() & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
     columns = [
         "doc_id",
