@@ -9,8 +9,9 @@ from partgraph.llm.common import cut, documents, table
 
 #: Words of a shingle, and the share of an item's shingles that makes a find.
 WIDTH, THRESHOLD = 5, 0.8
-#: Up to so many sketch rows (16 bytes each) are sent to every task; beyond, shingles are shuffled to them.
-MOST_BROADCAST = 2_000_000
+#: Items of up to so many bytes of text in all are sent to every task, as sketches and as shingles (at most some
+#: 25 times as much memory); beyond, the documents' shingles and texts are shuffled to them.
+MOST_BROADCAST = 16 << 20
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -72,11 +73,15 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
         F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")).alias("_d"), "text"
     )
     # An item is known by its id and text's hash, so that a null or repeated id stays one item.
-    i = items.select(F.struct("item_id", F.xxhash64("text").alias("h")).alias("item_id"), words(F.col("text")).alias("w"))
+    i = items.select(
+        F.struct("item_id", F.xxhash64("text").alias("h")).alias("item_id"),
+        words(F.col("text")).alias("w"),
+        F.octet_length(F.col("text").cast("string")).cast("long").alias("n_bytes"),
+    )
     i = i.where(F.size("w") >= WIDTH).dropDuplicates(["item_id"])
     sketch = sketches(i, threshold).groupBy("hash").agg(F.collect_set("item_id").alias("found"))
     probes = d.select("_d", words(F.col("text")).alias("w")).select("_d", F.explode(shingle_hashes("w")).alias("hash"))
-    small = sketch.count() <= MOST_BROADCAST
+    small = (i.agg(F.sum("n_bytes")).first()[0] or 0) <= MOST_BROADCAST
     met = probes.join(F.broadcast(sketch) if small else sketch, "hash")
     # Kept, because the texts are chosen by them and then joined with them.
     pairs = cut(met.select("_d", F.explode("found").alias("item_id")).distinct())

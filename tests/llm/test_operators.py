@@ -138,7 +138,9 @@ def test_op7(spark, docs, odd, none):
     assert secrets.scan_secrets(odd).count() == 10 and secrets.scan_secrets(none).count() == 0
 
 
-def test_op8(spark, odd, none):
+@pytest.mark.parametrize("most", [decontaminate.MOST_BROADCAST, 0])
+def test_op8(spark, odd, none, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)  # 0: items are shuffled, too
     items = spark.createDataFrame([(1, "xword1 xword2 xword3 xword4 xword5 xword6"), (2, "a b"), (None, None), (3, "q w e r t y u")], "item_id long, text string")
     found = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_items(odd, items).collect())
     assert found == [(-3, 1), (4, 1), (5, 1)]
