@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from partgraph.llm.common import documents, table, written
 from partgraph.llm.decontaminate import decontaminate
-from partgraph.llm.line_dedup import without_copied_lines
+from partgraph.llm.line_dedup import PASSAGE_WORDS, without_copied_lines
 from partgraph.llm.mix import emit, mix
 from partgraph.llm.ngram_join import Join, keep_one
 from partgraph.llm.quality import keep_good
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs deleted; documents of nothing else go."""
-    return without_copied_lines(docs)
+    """Later copies of line runs and of single passages deleted; documents of nothing else go."""
+    return without_copied_lines(docs, passage_words=PASSAGE_WORDS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from partgraph.llm.common import cut, documents
 
 #: Shorter repeated runs than this many lines stay.
 MIN_LINES = 2
+#: A line of so many words or more is a passage of its own, where passages are asked for.
+PASSAGE_WORDS = 50
 
 
 def _lines_of(text: Column) -> Column:
@@ -22,8 +24,32 @@ def _key(d: DataFrame) -> DataFrame:
     return d.withColumn("_d", F.struct(F.col("doc_id"), F.xxhash64(text).alias("h")))
 
 
-def suffixes(docs: DataFrame, depth: int) -> DataFrame:
-    """The suffixes of line sequences that share their first ``depth`` lines with another.
+def repeated_lines(docs: DataFrame, passage_words: int | None = None) -> DataFrame:
+    """The suffixes that share their first line with another, as ``suffixes`` has them before its rounds.
+
+    With ``passage_words`` there is a column passage: whether the line has so many words (runs of \\S).
+    """
+    d = _key(docs).select("_d", F.posexplode(_lines_of(F.col("text"))).alias("pos", "line"))
+    rows = d.select(
+        "_d",
+        "pos",
+        F.xxhash64("line").alias("i1"),
+        F.xxhash64(F.lit(1), "line").alias("i2"),
+        (F.trim("line") != "").alias("solid"),
+        *([_has_words("line", passage_words).alias("passage")] if passage_words else []),
+    )
+    # Equal rows are one document.
+    rows = rows.repartition("_d").dropDuplicates(["_d", "pos"])
+    return _refined(rows.withColumn("rank", F.lit(0).cast("long")), [])
+
+
+def _has_words(line: str, n: int) -> Column:
+    """Whether ``line`` has ``n`` words; most lines are too short for it and not searched."""
+    return F.when(F.char_length(line) >= 2 * n - 1, F.regexp_count(line, F.lit(r"\S+")) >= n).otherwise(False)
+
+
+def suffixes(lines: DataFrame, depth: int) -> DataFrame:
+    """Of ``repeated_lines``, the suffixes that share their first ``depth`` lines with another.
 
     A line's id is a 128-bit hash; documents are sequences of ids and every line
     starts a suffix, which ends with its document. The suffix array is ordered by
@@ -39,17 +65,7 @@ def suffixes(docs: DataFrame, depth: int) -> DataFrame:
     interval's smallest (_d, pos)). An interval is a longest-common-prefix interval
     of depth ``depth`` or more. Intervals of blank lines only are left out.
     """
-    d = _key(docs).select("_d", F.posexplode(_lines_of(F.col("text"))).alias("pos", "line"))
-    rows = d.select(
-        "_d",
-        "pos",
-        F.xxhash64("line").alias("i1"),
-        F.xxhash64(F.lit(1), "line").alias("i2"),
-        (F.trim("line") != "").alias("solid"),
-    )
-    # Equal rows are one document.
-    rows = rows.repartition("_d").dropDuplicates(["_d", "pos"])
-    rows = _refined(rows.withColumn("rank", F.lit(0).cast("long")), [])
+    rows = lines
     reached = 1
     while reached < depth:
         step = min(reached, depth - reached)
@@ -76,28 +92,43 @@ def _refined(rows: DataFrame, by: list[str]) -> DataFrame:
         new = new + F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))
     found = found.withColumn("_new", new)
     keep = ["_d", "pos", "i1", "i2", F.col("_new").alias("rank"), "solid", "n", "first"]
+    keep += [c for c in rows.columns if c == "passage"]
     return cut(rows.join(found, [*old, *by]).select(*keep))
 
 
-def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES, passage_words: int | None = None) -> DataFrame:
     """(_d, runs): for each document the maximal runs of lines to delete, [start, end) in order.
 
     A line goes where it lies in a run of ``min_lines`` or more lines that stands
-    at an earlier place too, by (doc_id, line).
+    at an earlier place too, by (doc_id, line), or where it has ``passage_words``
+    words itself and stands at an earlier place.
     """
-    later = suffixes(docs, min_lines).where(F.struct("_d", "pos") != F.col("first")).select("_d", "pos")
+    lines = repeated_lines(docs, passage_words)
+    later = _later(suffixes(lines, min_lines), min_lines)
+    if passage_words:
+        later = later.unionByName(_later(lines.where("passage"), 1))
     by_place = W.partitionBy("_d").orderBy("pos")
-    fresh = F.coalesce(F.col("pos") > F.lag("pos").over(by_place) + min_lines, F.lit(True))
-    runs = later.withColumn("_run", F.sum(fresh.cast("long")).over(by_place))
-    runs = runs.groupBy("_d", "_run").agg(F.min("pos").alias("start"), (F.max("pos") + min_lines).alias("end"))
+    before = F.max("end").over(by_place.rowsBetween(W.unboundedPreceding, -1))
+    runs = later.withColumn("_fresh", F.coalesce(F.col("pos") > before, F.lit(True)).cast("long"))
+    runs = runs.withColumn("_run", F.sum("_fresh").over(by_place))
+    runs = runs.groupBy("_d", "_run").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
     return runs.groupBy("_d").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, prefix: str = "") -> DataFrame:
+def _later(rows: DataFrame, length: int) -> DataFrame:
+    """(_d, pos, end) of the ``length`` lines from each place that is not its interval's first."""
+    rows = rows.where(F.struct("_d", "pos") != F.col("first"))
+    return rows.select("_d", "pos", (F.col("pos") + length).alias("end"))
+
+
+def dedup_lines(
+    docs: DataFrame, min_lines: int = MIN_LINES, prefix: str = "", passage_words: int | None = None
+) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from text.
 
     Lines end with a line feed and are compared exactly. The first place of a run,
-    by (doc_id, line), keeps it. Added, with ``prefix`` before their names (and
+    by (doc_id, line), keeps it. With ``passage_words`` a later copy of a single line of
+    so many words goes too, whatever its neighbours. Added, with ``prefix`` before their names (and
     replaced if the input has them): n_lines, n_removed, n_runs (maximal deleted
     runs), longest_run; text is the remaining lines joined. Null text stays null, with 0 lines and nothing removed; an empty
     text is one blank line; runs of blank lines only stay. Rows equal in doc_id and
@@ -105,7 +136,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, prefix: str = "") -
     give no rows. A very long text is split within its row.
     """
     made = [prefix + name for name in ("n_lines", "n_removed", "n_runs", "longest_run")]
-    d = _key(docs.drop(*made)).join(removed_runs(docs, min_lines), "_d", "left")
+    d = _key(docs.drop(*made)).join(removed_runs(docs, min_lines, passage_words), "_d", "left")
     runs = F.coalesce(F.col("runs"), F.array().cast("array<struct<start:int,end:int>>"))
     length = F.transform(runs, lambda r: r["end"] - r["start"])
     d = d.withColumns(
@@ -129,14 +160,16 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, prefix: str = "") -
     return d.withColumn("text", text).drop("_d", "_mask", "runs")
 
 
-def without_copied_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def without_copied_lines(
+    docs: DataFrame, min_lines: int = MIN_LINES, passage_words: int | None = None
+) -> DataFrame:
     """``docs`` with the same columns after ``dedup_lines``.
 
     A document of which every line was a later copy goes; n_chars, if there is one,
     is set anew where text changed.
     """
     p = "_dedup_"
-    d = dedup_lines(docs, min_lines, p).where((F.col(p + "n_removed") == 0) | (F.col(p + "n_removed") < F.col(p + "n_lines")))
+    d = dedup_lines(docs, min_lines, p, passage_words).where((F.col(p + "n_removed") == 0) | (F.col(p + "n_removed") < F.col(p + "n_lines")))
     if "n_chars" in docs.columns:
         changed = F.when(F.col(p + "n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
         d = d.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))

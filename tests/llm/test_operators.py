@@ -105,6 +105,20 @@ def test_op5(odd, none, spark):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_op5_passages(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    short = " ".join(f"s{i}" for i in range(49))
+    texts = [(1, f"x\n{a}\ny\n{short}"), (2, f"z\n{a}\nq\n{short}\nr"), (3, b), (4, b), (5, f"{a}\nw\n{a}\n{short}"), (6, f"{b}\nz\n{a}\nq\nt")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, passage_words=50).collect()}
+    left = {1: texts[0][1], 2: f"z\nq\n{short}\nr", 3: b, 4: "", 5: f"w\n{short}", 6: "t"}
+    assert {i: r["text"] for i, r in got.items()} == left
+    assert [(r["n_removed"], r["n_runs"], r["longest_run"]) for _, r in sorted(got.items())] == [(0, 0, 0), (1, 1, 1), (0, 0, 0), (1, 1, 1), (2, 2, 1), (4, 1, 4)]
+    import corpus_pipeline as p
+
+    assert {r["doc_id"]: r["text"] for r in p.line_dedup(spark, docs, SF).collect()} == {i: t for i, t in left.items() if t}
+
+
 def test_op6(spark, docs, odd, none):
     got = QUERIES["op6_quality"](spark, SF).collect()
     assert {r["doc_id"] for r in got} == docs.keys() and all(0 <= r["score"] <= 1 for r in got)
