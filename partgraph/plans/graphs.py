@@ -12,14 +12,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_part_edges(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
-    """(src order, dst part, value least quantity); parts have negative ids."""
-    rows = read(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)
+def order_part_edges(spark: SparkSession, sf_dir: str, least: float | None) -> DataFrame:
+    """(src order, dst part, value least quantity); parts have negative ids. No ``least``: all rows."""
+    rows = read(spark, sf_dir, "lineitem")
+    rows = rows if least is None else rows.where(F.col("l_quantity") >= least)
     pairs = rows.select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"), F.col("l_quantity").alias("value"))
     return pairs.groupBy("src", "dst").agg(F.min("value").alias("value"))
 
 
-def order_part(spark: SparkSession, sf_dir: str, least: float) -> Graph:
+def order_part(spark: SparkSession, sf_dir: str, least: float | None) -> Graph:
     return Graph.from_edges(order_part_edges(spark, sf_dir, least), lambda i: i)
 
 

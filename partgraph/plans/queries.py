@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _EDGES_50 = "select l_orderkey as a, -1 - l_partkey as b, min(l_quantity) as w from lineitem where l_quantity >= 50 group by 1, 2"
 _EDGES_40 = _EDGES_50.replace("50", "40")
+_EDGES_ALL = _EDGES_50.replace(" where l_quantity >= 50", "")
 
 
 def _labels(result: DataFrame, value: str = "label") -> DataFrame:
@@ -30,33 +32,33 @@ def _labels(result: DataFrame, value: str = "label") -> DataFrame:
 # --- graph building -------------------------------------------------------------
 
 
-def graph_from_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.order_part(spark, sf_dir, 50).vertices
+def graph_from_edges(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    return graphs.order_part(spark, sf_dir, least).vertices
 
 
-def undirected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.order_part(spark, sf_dir, 50).without_edge_values().undirected().edges
+def undirected_edges(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    return graphs.order_part(spark, sf_dir, least).without_edge_values().undirected().edges
 
 
-def map_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.order_part(spark, sf_dir, 50).map_edges(lambda s, d, v: v * 2 + F.pmod(s, F.lit(7))).edges
+def map_edges(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    return graphs.order_part(spark, sf_dir, least).map_edges(lambda s, d, v: v * 2 + F.pmod(s, F.lit(7))).edges
 
 
-def map_vertices_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graphs.order_part(spark, sf_dir, 40)
+def map_vertices_init(spark: SparkSession, sf_dir: str, least: float | None = 40) -> DataFrame:
+    g = graphs.order_part(spark, sf_dir, least)
     return ShortestPaths(1, ROUNDS).initial(g).vertices
 
 
 # --- parts of a superstep ---------------------------------------------------------
 
 
-def rich_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graphs.order_part(spark, sf_dir, 50)
+def rich_edges(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    g = graphs.order_part(spark, sf_dir, least)
     return superstep.expand(g.vertices, g.edges)
 
 
-def rich_edges_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graphs.order_part(spark, sf_dir, 50)
+def rich_edges_active(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    g = graphs.order_part(spark, sf_dir, least)
     return superstep.expand(g.vertices.where(F.pmod(F.col("id"), F.lit(3)) == 0), g.edges)
 
 
@@ -65,13 +67,13 @@ def _first_messages(g: Graph) -> DataFrame:
     return superstep.messages(superstep.expand(both.vertices, both.edges), NativeProgram(lambda v, _: v), 1)
 
 
-def vertex_update_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graphs.order_part(spark, sf_dir, 50)
+def vertex_update_min(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    g = graphs.order_part(spark, sf_dir, least)
     return superstep.combine(_first_messages(g), g.vertices, MIN)
 
 
-def solution_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graphs.order_part(spark, sf_dir, 50)
+def solution_upsert(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    g = graphs.order_part(spark, sf_dir, least)
     return superstep.apply_updates(g.vertices, superstep.combine(_first_messages(g), g.vertices, MIN))
 
 
@@ -86,8 +88,8 @@ class _Counted(VertexUpdate):
             self.set_new_value(total)
 
 
-def vertex_update_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graphs.order_part(spark, sf_dir, 50)
+def vertex_update_udf(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    g = graphs.order_part(spark, sf_dir, least)
     return superstep.update(_first_messages(g), g.vertices, _Counted(), 1)
 
 
@@ -109,9 +111,9 @@ def _other_values(spark: SparkSession, sf_dir: str) -> Graph:
 # --- shortest paths -------------------------------------------------------------------
 
 
-def _paths(mode: str, directed: bool) -> Query:
+def _paths(mode: str, directed: bool, least: float | None = 40) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = graphs.order_part(spark, sf_dir, 40)
+        g = graphs.order_part(spark, sf_dir, least)
         source = g.edges.agg(F.min("src")).first()[0]
         g = g if directed else g.undirected()
         return _labels(ShortestPaths(source, ROUNDS, mode).run(g), "distance")
@@ -140,13 +142,13 @@ class _Larger(VertexUpdate):
             self.set_new_value(best)
 
 
-def user_program_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _order_part(spark, sf_dir).without_edge_values().undirected()
+def user_program_max(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    g = graphs.order_part(spark, sf_dir, least).without_edge_values().undirected()
     return _labels(g.run_partition_centric(_Spread(), _Larger(), ROUNDS).vertices)
 
 
-def user_program_max_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _order_part(spark, sf_dir).without_edge_values().undirected()
+def user_program_max_native(spark: SparkSession, sf_dir: str, least: float | None = 50) -> DataFrame:
+    g = graphs.order_part(spark, sf_dir, least).without_edge_values().undirected()
     return _labels(iterate(g, NativeProgram(lambda v, _: v), MAX, ROUNDS).vertices)
 
 
@@ -180,6 +182,21 @@ QUERIES: dict[str, Query] = {
     "user_program_max_native": user_program_max_native,
 }
 
+#: On all of lineitem, which is one giant component: the components queries have whole tables of their own.
+_WHOLE: dict[str, Query] = {
+    f.__name__: partial(f, least=None)
+    for f in (
+        graph_from_edges, undirected_edges, map_edges, map_vertices_init, rich_edges, rich_edges_active,
+        vertex_update_min, vertex_update_udf, solution_upsert, user_program_max, user_program_max_native,
+    )
+} | {
+    "sssp_order_part": _paths("native", False, None),
+    "kernel_sssp_order_part": _paths("kernel", False, None),
+    "sssp_directed": _paths("native", True, None),
+    "kernel_sssp_directed": _paths("kernel", True, None),
+}
+QUERIES |= {f"whole_{name}": query for name, query in _WHOLE.items()}
+
 
 def _cc_sql(edges: str, vertices: str = "select distinct a as id, a as value from u", best: str = "min", sign: str = "<") -> str:
     return f"""
@@ -258,3 +275,7 @@ ORACLE_SQL: dict[str, str] = {
     "user_program_max": _MAX,
     "user_program_max_native": _MAX,
 }
+
+ORACLE_SQL |= {
+    f"whole_{name}": ORACLE_SQL[name].replace(_EDGES_50, _EDGES_ALL).replace(_EDGES_40, _EDGES_ALL) for name in _WHOLE
+}
