@@ -27,12 +27,17 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 #: Strings that the token-efficiency test looks at, and what it makes of them.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
-LEAST_RUN = 20
+LEAST_RUN = 16
+#: A shorter run must hold a digit and a letter: rare words of 16 to 19 letters can have 2 characters a token.
+LEAST_PLAIN = 20
 #: Fewer characters a token than this is random; prose has about 4, names 3.
 MOST_CHARS_A_TOKEN = 2.2
-#: Known digests and identifiers, which the test leaves alone: a named digest, a
-#: UUID, a hex digest of a usual length, a date or number.
-DIGEST_BEFORE = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5|blake2b?|crc32|commit|digest|etag|integrity)[\"']?[\x20:=-]*$", re.I)
+#: Known digests and identifiers, which the test leaves alone: a named digest, no
+#: longer than it can be, a UUID, a hex digest of a usual length, a date or number.
+DIGEST_BEFORE = re.compile(r"(sha-?(?:1|224|256|384|512)|md5|blake2b?|crc32|commit|digest|etag|integrity)[\"']?[\x20:=-]*$", re.I)
+#: Bytes of the digest that a name stands for; other names stand for up to MOST_BYTES. Commits are never in base64.
+DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64, "crc32": 4, "commit": 32}
+MOST_BYTES = 64
 IDENTIFIER = re.compile(
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[-0-9_=+/]+"
 )
@@ -65,6 +70,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def named_digest(text: str, a: int, run: str) -> bool:
+    """Whether a digest's name stands before ``a`` and ``run``, which begins there, can be such a digest, whole or cut short, in hex or base64."""
+    name = DIGEST_BEFORE.search(text, max(0, a - 24), a)
+    if not name:
+        return False
+    kind = name[1].lower().replace("-", "")
+    size = DIGEST_BYTES.get(kind, MOST_BYTES)
+    if re.fullmatch(r"[0-9A-Fa-f]+", run):
+        return len(run) <= 2 * size
+    return kind != "commit" and "=" not in run.rstrip("=") and len(run) <= -(-size // 3) * 4
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], tokens: Tokens) -> list[tuple[int, int, int]]:
     """Runs with few characters a token that no base span touches and that are no known digest or identifier."""
     out, k = [], 0
@@ -77,9 +94,9 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], tokens: Tokens) -
         if any(s < b and e > a for s, _, e in taken[max(0, k - 3) : k + 3]):
             continue
         run = m[0]
-        if not (re.search(r"\d", run) and re.search(r"[A-Za-z]", run)):
+        if len(run) < LEAST_PLAIN and not (re.search(r"\d", run) and re.search(r"[A-Za-z]", run)):
             continue
-        if IDENTIFIER.fullmatch(run) or DIGEST_BEFORE.search(text, max(0, a - 24), a):
+        if IDENTIFIER.fullmatch(run) or named_digest(text, a, run):
             continue
         if len(run) < MOST_CHARS_A_TOKEN * tokens.count(run):
             out.append((a, 3, b))
@@ -110,9 +127,10 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Secrets of each text: the base patterns', and random strings by token efficiency.
 
-    A run of at least LEAST_RUN characters of ``[A-Za-z0-9+/_=-]`` with letters and
-    digits is reported as kind token where it has fewer than MOST_CHARS_A_TOKEN
-    characters a token, is no known digest or identifier and touches no base span.
+    A run of at least LEAST_RUN characters of ``[A-Za-z0-9+/_=-]``, or under
+    LEAST_PLAIN characters one with letters and digits, is reported as
+    kind token where it has fewer than MOST_CHARS_A_TOKEN characters a token, is no
+    known digest or identifier and touches no base span.
     Only texts with a keyword or such a run are decoded. The vocabulary file (about
     1 MB, fixed) is read on the driver and sent to the tasks. Null and empty texts:
     no spans, base_sha256 of the empty string. Repeated rows give repeated results;

@@ -152,6 +152,14 @@ def test_op7(spark, docs, odd, none):
     assert secrets.scan_secrets(odd).count() == 10 and secrets.scan_secrets(none).count() == 0
 
 
+def test_op7_gates(spark):
+    key, short, wide = "qXvZkWpJrTgBzLnHcYfD", "q7XvZ2kW9pJrT4gB", "a9" * 8 + "Zq7XvK2pWm" * 3
+    texts = [f"is {key} here", f"is {short} here", f"commit: {key}", f"md5: {wide}", "sha1: Lve95gjOVATpfV8EL5X4nxwjKHE="]
+    docs = spark.createDataFrame(list(enumerate([*texts, "Donaudampfschifffahrt unbelievably"])), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    assert got == {0: "token:3:23", 1: "token:3:19", 2: "token:8:28", 3: f"token:5:{5 + len(wide)}", 4: "", 5: ""}
+
+
 @pytest.mark.parametrize("most", [decontaminate.MOST_BROADCAST, 0])
 def test_op8(spark, odd, none, monkeypatch, most):
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)  # 0: items are shuffled, too
