@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partgraph.plans.lineage import cut, shared_folder
@@ -17,6 +17,8 @@ __all__ = ["cut", "shared_folder"]
 #: Texts are worked on in blocks of about this many bytes, so that the 8-byte
 #: temporaries of numpy stay small whatever the size of an Arrow batch.
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,11 +36,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_text(docs: DataFrame, *keep: str) -> DataFrame:
-    """The named columns and ``text``, where a null text counts as empty."""
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, for columns that are dropped again."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes that go to a Python worker at once (Spark's default bounds rows, whatever their length)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != str(BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def with_text(docs: DataFrame, *keep: str | Column) -> DataFrame:
+    """The named columns and ``text``, where a null text counts as empty, for Arrow batches of bounded bytes."""
+    small_batches(docs.sparkSession)
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def text_digest() -> Column:
+    """128 bits of SHA-256 of the text, null as empty: two texts of one digest are taken as equal."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
+def row_key() -> Column:
+    """(doc_id, digest of the text): never null itself, equal for rows equal in both."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
+
+
 # --- blocks of UTF-8 bytes ---------------------------------------------------
 
 
@@ -92,7 +121,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 4096), base & (2**64 - 1), np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 4 * BLOCK_BYTES:
+        if n <= 2 * BLOCK_BYTES:
             _powers[base] = have
     return have[:n]
 
@@ -133,6 +162,40 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def pieces(data: np.ndarray, inside: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """(begin, end) of pieces of one text of about ``size`` bytes that end outside words; a longer word is not cut."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + size, n)
+        while end < n:
+            outside = np.flatnonzero(~inside[data[end : end + 4096]])
+            if len(outside):
+                end += int(outside[0])
+                break
+            end = min(end + 4096, n)
+        yield at, end
+        at = end
+
+
+def hashed_words(
+    data: np.ndarray, offsets: np.ndarray, inside: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, length, last byte) of each word and the first word of each row of a block of ``text_blocks``.
+
+    A block of one long text is hashed in pieces, so that the temporaries of 8 and
+    more bytes a byte are those of a piece and only some 17 bytes a word are kept.
+    """
+    if len(offsets) == 2 and len(data) > BLOCK_BYTES:
+        parts = []
+        for a, b in pieces(data, inside):
+            h, n, last, _ = hashed_words(data[a:b], np.array([0, 0, b - a]), inside)
+            parts.append((h, n, last))
+        h, n, last = (np.concatenate(p) for p in zip(*parts, strict=True))
+        return h, n, last, np.array([0, len(h)])
+    starts, ends, first = word_spans(data, offsets, inside)
+    return word_hashes(data, starts, ends), ends - starts, data[ends - 1] if len(ends) else data[:0], first
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every shingle of ``width`` words; a shorter row has its whole sequence as one."""
     counts = np.diff(first)
@@ -161,8 +224,11 @@ def distinct_shingles(
     data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, width: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row: (bounds of rows, hashes sorted within a row)."""
-    starts, ends, first = word_spans(data, offsets, inside)
-    rows, values = shingle_hashes(word_hashes(data, starts, ends), first, width)
+    hashes, _, _, first = hashed_words(data, offsets, inside)
+    rows, values = shingle_hashes(hashes, first, width)
+    if len(offsets) == 2:
+        values = np.unique(values)
+        return np.array([0, len(values)]), values
     order = np.lexsort((values, rows))
     rows, values = rows[order], values[order]
     if len(rows):

@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import ALNUM, NONSPACE, cut, documents, table, text_blocks, with_text, word_hashes, word_spans
+from partgraph.llm.common import (
+    ALNUM, BLOCK_BYTES, NONSPACE, cut, documents, hashed_words, small_batches, table, text_blocks, unused, with_text, written,
+)
 
 #: Random features; their scale (a kernel width in standard deviations); ridge.
 FEATURES, WIDTH, RIDGE, SEED = 192, 2.0, 1e-3, 11
@@ -32,27 +34,36 @@ STATS = (
 )
 
 
+def byte_classes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bytes of each class in each text of a block; a long text is counted in pieces."""
+    n = len(offsets) - 1
+    if n == 1:
+        parts = [np.bincount(_CLASS[data[a : a + BLOCK_BYTES]], minlength=8) for a in range(0, len(data), BLOCK_BYTES)]
+        return np.sum(parts, axis=0).reshape(1, 8) if parts else np.zeros((1, 8), np.int64)
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    return np.bincount(row * 8 + _CLASS[data], minlength=n * 8).reshape(n, 8)
+
+
 def text_stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of STATS for each text of a block; an empty text has zeros."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
     out = np.zeros((n, len(STATS)))
-    row = np.repeat(np.arange(n), sizes)
-    share = np.bincount(row * 8 + _CLASS[data], minlength=n * 8).reshape(n, 8)
+    share = byte_classes(data, offsets)
     lines = share[:, 5] + 1
     out[:, 0] = np.log1p(sizes)
     out[:, 1:9] = share / np.maximum(sizes, 1)[:, None]
-    starts, ends, first = word_spans(data, offsets, NONSPACE)
+    hashes, lengths, last, first = hashed_words(data, offsets, NONSPACE)
     counts = np.diff(first)
     some = np.maximum(counts, 1)
-    length = (ends - starts).astype(float)
+    length = lengths.astype(float)
     sums = lambda v: np.diff(np.append(0, np.cumsum(v))[first])
     out[:, 9] = sums(length) / some
     out[:, 10] = np.sqrt(np.maximum(sums(length * length) / some - out[:, 9] ** 2, 0))
-    hashes = word_hashes(data, starts, ends)
     word_row = np.repeat(np.arange(n), counts)
     same = np.zeros(len(hashes))
     same[1:] = (hashes[1:] == hashes[:-1]) & (word_row[1:] == word_row[:-1])
-    order = np.lexsort((hashes, word_row))
+    out[:, 13] = sums(same) / some
+    order = np.lexsort((hashes, word_row)) if n > 1 else np.argsort(hashes)
     h, r = hashes[order], word_row[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
@@ -61,14 +72,17 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     np.maximum.at(top, r[at], np.diff(np.append(at, len(h))))
     out[:, 11] = np.bincount(r[at], minlength=n) / np.sqrt(some)
     out[:, 12] = top / some
-    out[:, 13] = sums(same) / some
-    out[:, 14] = sums((~ALNUM[data[ends - 1]]).astype(float)) / some if len(ends) else 0
+    out[:, 14] = sums((~ALNUM[last]).astype(float)) / some
     out[:, 15] = np.log1p(sizes / lines)
     return out
 
 
 def stats(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats array of float) of each text, in one pass over the whole texts."""
+    """(doc_id, stats array of float) of each text, in one pass over the whole texts.
+
+    Null text: empty, which has zeros. Repeated rows and null doc_ids: a row each.
+    Other columns are left out. No rows: no rows.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +222,10 @@ def fit(stats_of: DataFrame, labels: DataFrame) -> Model:
 
 
 def scored(stats_of: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) from ``stats``."""
+    """(doc_id, held_out, score, predicted) from ``stats``, a row each, ties and null doc_ids as they come.
+
+    A null doc_id is not held out. No rows: no rows.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,27 +241,43 @@ def scored(stats_of: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def score_text(model: Model):
-    """A pandas function from text to its score, for use beside other columns."""
+def with_stats(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the stats of each text in a column ``name``; the other columns stay in the JVM."""
+
+    @F.arrow_udf("array<float>")
+    def stats_of(texts: pa.Array) -> pa.Array:
+        values = [text_stats(data, offsets).astype(np.float32).ravel() for *_, data, offsets in text_blocks(texts)]
+        flat = np.concatenate(values) if values else np.zeros(0, np.float32)
+        return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(STATS), dtype=np.int32), pa.array(flat))
+
+    small_batches(docs.sparkSession)
+    return docs.withColumn(name, stats_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def score_of(model: Model, name: str) -> Column:
+    """The score from a column of stats."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out = np.zeros(len(texts))
-        for a, b, data, offsets in text_blocks(pa.array(texts.fillna(""), pa.large_string())):
-            out[a:b] = model.score(text_stats(data, offsets))
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def score(lists: pa.Array) -> pa.Array:
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(STATS))
+        return pa.array(model.score(x), pa.float64())
 
-    return score
+    return score(F.col(name))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier, fitted on their labelled rows, rejects.
 
-    Null and empty texts are scored like others; clashing column names stay as they
-    are; no rows give no rows.
+    Texts are gone over once: their stats are written beside the other columns, and
+    the fit and the scores read those. Null and empty texts are scored like others;
+    equal rows and rows of a null doc_id are scored each; a text of any length is
+    counted in pieces; further columns stay as they are, whatever their names; no
+    rows give no rows.
     """
-    model = fit(cut(stats(docs)), labels)
-    return docs.where(score_text(model)(F.col("text")) >= KEEP_FROM)
+    name = unused(docs, "stats")
+    kept = written(with_stats(docs, name), "stats")
+    model = fit(kept.select("doc_id", F.col(name).alias("stats")), labels)
+    return kept.where(score_of(model, name) >= KEEP_FROM).drop(name)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
