@@ -9,19 +9,26 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import NONSPACE, cut, distinct_shingles, documents, mix, text_blocks, with_text
+from partgraph.llm.common import (
+    NONSPACE, cut, distinct_shingles, documents, mix, row_key, text_blocks, unused, utf8_column, with_text, written,
+)
 from partgraph.operators.star_components import star_components
 
 #: Slots of the fixed-size count sketch that orders shingles, and its slices.
 SKETCH, SLICES = 1 << 18, 16
 #: Sets of up to so many bytes meet in one prefix tree.
-BLOCK = 32 << 20
+BLOCK = 8 << 20
 #: Shingles that a pair must share in its prefixes; a shingle of more rows than
 #: FEW links its sets by a star rather than pair by pair.
 SHARED, FEW = 3, 32
+#: A star is gathered in so many parts first, so that the sets of one shingle are not one task.
+SALTS = 64
+#: Sets that a task remembers, so as to give the shingles of a copy once.
+REMEMBERED = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -48,44 +55,47 @@ def _sets(column: pa.Array, width: int):
 
 
 def _fingerprints(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit value for each set; equal sets have equal ones."""
-    sums = np.append(np.uint64(0), np.cumsum(mix(hashes + np.uint64(0x51ED270B)), dtype=np.uint64))
+    """128 bits (two columns) for each set; equal sets have equal ones."""
     n = np.diff(bounds).astype(np.uint64)
-    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ (n * np.uint64(0x9FB21C651E98DF25))).view(np.int64)
+    out = np.empty((len(n), 2), np.uint64)
+    for i, seed in enumerate((0x51ED270B, 0xB492B66FBE98F273)):
+        sums = np.append(np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(seed)), dtype=np.uint64))
+        out[:, i] = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ (n * np.uint64(0x9FB21C651E98DF25)))
+    return out
 
 
-# --- the first pass: sizes, fingerprints, counts ------------------------------
+def _binary(fingerprints: np.ndarray) -> pa.Array:
+    n = len(fingerprints)
+    offsets = pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(fingerprints.tobytes())])
 
-_FIRST = "doc_id long, k long, n long, node long, slice int, counts binary"
 
+# --- the first pass: sizes, fingerprints, counts ------------------------------
 
-def row_key():
-    """A hash of doc_id and text."""
-    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+_KEY = "struct<doc_id:long,digest:binary>"
+_FIRST = f"k {_KEY}, n long, node binary, slice int, counts binary"
 
 
 def _describe(docs: DataFrame, join: Join) -> DataFrame:
-    """A row (doc_id, k, n, node) for each text, and the partition's part of the count sketch in slices.
-
-    k tells apart the rows of one doc_id.
-    """
+    """A row (k, n, node) for each text, and the partition's part of the count sketch in slices."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _FIRST.split(", ")]
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch, kind = np.zeros(SKETCH, np.int64), None
         for batch in batches:
+            kind = batch.column(0).type
             for a, b, bounds, hashes in _sets(batch.column(1), join.width):
                 sketch += np.bincount((hashes >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
-                ids = [batch.column(i).slice(a, b - a).cast(pa.int64()) for i in (0, 2)]
                 n = pa.array(np.diff(bounds).astype(np.int64))
                 nothing = [pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*ids, n, pa.array(_fingerprints(bounds, hashes)), *nothing], names)
+                columns = [batch.column(0).slice(a, b - a), n, _binary(_fingerprints(bounds, hashes)), *nothing]
+                yield pa.RecordBatch.from_arrays(columns, names)
         if sketch.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in sketch.reshape(SLICES, -1)]
-            empty = [pa.nulls(SLICES, pa.int64())] * 4
+            empty = [pa.nulls(SLICES, k) for k in (kind, pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return with_text(docs, "doc_id").withColumn("k", row_key()).mapInArrow(work, _FIRST)
+    return with_text(docs, row_key().alias("k")).mapInArrow(work, _FIRST)
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
@@ -103,35 +113,45 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _count(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return sketch[(hashes >> np.uint64(46)).astype(np.int64)]
+
+
 # --- candidates -----------------------------------------------------------------
 
 
-def _prefixes(docs: DataFrame, join: Join, sketch: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     """(token, node, n): the first shingles of each set in the global order, rare ones first.
 
     The order is (count of the sketch slot, hash): the same for all sets, which is
-    all that the prefix filter needs; counts only make it selective.
+    all that the prefix filter needs; counts only make it selective. Copies that one
+    task sees give their shingles once, as far as it remembers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int64))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
         for batch in batches:
             for _, _, bounds, hashes in _sets(batch.column(0), join.width):
-                n = np.diff(bounds)
+                nodes, n = _fingerprints(bounds, hashes), np.diff(bounds)
+                new = np.zeros(len(n), bool)
+                for i, node in enumerate(nodes):
+                    if n[i] and (raw := node.tobytes()) not in known:
+                        known.add(raw)
+                        new[i] = True
+                if len(known) > REMEMBERED:
+                    known.clear()
                 row = np.repeat(np.arange(len(n)), n)
-                count = shared.value[(hashes >> np.uint64(46)).astype(np.int64)]
-                order = np.lexsort((count, row))  # stable: hashes stand in order already
+                order = np.lexsort((_count(shared.value, hashes), row))  # stable: hashes stand in order already
                 place = np.arange(len(hashes)) - bounds[row]
-                keep = place < join.prefix(n)[row]
-                tokens, owner = hashes[order][keep].view(np.int64), row[keep]
-                node = _fingerprints(bounds, hashes)[owner]
-                columns = [pa.array(tokens), pa.array(node), pa.array(n[owner].astype(np.int32))]
+                keep = (place < join.prefix(n)[row]) & new[row]
+                owner = row[keep]
+                columns = [pa.array(hashes[order][keep].view(np.int64)), _binary(nodes[owner]), pa.array(n[owner].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n"])
 
-    return with_text(docs).mapInArrow(work, "token long, node long, n int")
+    return with_text(docs).mapInArrow(work, "token long, node binary, n int")
 
 
-def _candidates(docs: DataFrame, join: Join, sketch: np.ndarray) -> DataFrame:
+def _candidates(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     """(a, b): links whose components hold every pair of sets that can link.
 
     Sets that link share SHARED shingles of their prefixes (or all that they need,
@@ -139,9 +159,12 @@ def _candidates(docs: DataFrame, join: Join, sketch: np.ndarray) -> DataFrame:
     paired out and pairs counted: chance pairs share one or two, so they don't tie
     the corpus together. If one of the shared shingles has many rows, the two meet
     in its star instead: all sets of that shingle and of one or two neighbouring
-    size classes are linked to the smallest, with one row a set.
+    size classes are linked to the smallest, with one row a set. A star is made in
+    two steps, within SALTS parts and between their centres, so that one shingle's
+    sets are shared by as many tasks. Prefixes are written once and read for counts
+    and rows.
     """
-    prefixes = _prefixes(docs, join, sketch)
+    prefixes = written(_prefixes(docs, join, shared), "prefixes")
     tokens = prefixes.groupBy("token").agg(
         F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("rows")
     )
@@ -157,32 +180,38 @@ def _candidates(docs: DataFrame, join: Join, sketch: np.ndarray) -> DataFrame:
     needed = F.floor((join.percent * (size(F.col("x")) + size(F.col("y"))) + whole - 1) / whole)
     met = met.where(F.col("shared") >= F.least(F.lit(SHARED), needed)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     c = _size_class(F.col("n"), join.percent)
-    many = rows.where("many").select("token", "node", F.explode(F.array(c, c + 1)).alias("c"))
-    hubs = many.groupBy("token", "c").agg(F.min("node").alias("hub"))
-    stars = many.join(hubs, ["token", "c"]).where(F.col("node") != F.col("hub"))
-    return met.unionByName(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    salt = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(SALTS)).alias("salt")
+    many = rows.where("many").select("token", "node", salt, F.explode(F.array(c, c + 1)).alias("c"))
+    centres = many.groupBy("token", "c", "salt").agg(F.min("node").alias("centre"))
+    hubs = centres.groupBy("token", "c").agg(F.min("centre").alias("hub"))
+    near = many.join(centres, ["token", "c", "salt"]).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    far = centres.join(hubs, ["token", "c"]).select(F.col("centre").alias("a"), F.col("hub").alias("b"))
+    return met.unionByName(near.unionByName(far).where("a != b").distinct())
 
 
 # --- the prefix tree --------------------------------------------------------------
 
 
 class PrefixTree:
-    """Sets as sequences in one order, in a compressed trie whose nodes are numbered by level.
+    """Sets as sequences in the global order, in a compressed trie whose nodes are numbered by level.
 
-    Within a tree the order is by falling frequency, so that similar sets share a
-    long way from the root; shingles of one set only can't be shared and are left
-    out, but count in the sizes.
+    The order is that of the prefix filter turned round, (count of the sketch slot,
+    hash) falling, so that what many sets have comes first and similar sets share a
+    long way from the root; shingles of one set of the tree only can't be shared
+    and are left out, but count in the sizes.
     """
 
-    def __init__(self, sets: list[np.ndarray], join: Join):
+    def __init__(self, sets: list[np.ndarray], join: Join, sketch: np.ndarray | None = None):
         self.join = join
         lengths = np.array([len(s) for s in sets])
         values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(values), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(values))
-        self.n_tokens = int((counts > 1).sum())
+        several = np.flatnonzero(counts > 1)
+        weight = np.zeros(len(several), np.int64) if sketch is None else _count(sketch, values[several])
+        rank = np.full(len(values), -1, np.int64)
+        rank[several[np.lexsort((values[several], weight))[::-1]]] = np.arange(len(several))
+        self.n_tokens = len(several)
         tokens, owner = rank[inverse], np.repeat(np.arange(len(sets)), lengths)
-        keep = tokens < self.n_tokens
+        keep = tokens >= 0
         tokens, owner = tokens[keep], owner[keep]
         order = np.lexsort((tokens, owner))
         tokens, owner = tokens[order], owner[order]
@@ -295,17 +324,12 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - before, count)
 
 
-def link_sets(sets: list[np.ndarray], join: Join) -> np.ndarray:
+def link_sets(sets: list[np.ndarray], join: Join, sketch: np.ndarray | None = None) -> np.ndarray:
     """For each set the number of one set of its component, the same for all of it."""
     root = np.arange(len(sets))
-    if len(sets) == 2:
-        shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if shared >= join.needed(len(sets[0]), len(sets[1])):
-            root[1] = 0
-        return root
     if len(sets) < 2:
         return root
-    tree = PrefixTree(sets, join)
+    tree = PrefixTree(sets, join, sketch)
     alive = np.ones(len(sets), bool)
     of = np.arange(len(sets))
     # Sets already reached need no further probe against each other: only the
@@ -373,7 +397,8 @@ def components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
     Sets are of 64-bit hashes of distinct shingles (a text shorter than the width
-    is one shingle). Equal sets are one node. Every pair of nodes that links shares
+    is one shingle); a set is known by 128 bits, and equal sets are one node. Every
+    pair of nodes that links shares
     one of its first shingles in a global order (the prefix filter, which is exact);
     nodes that share one form a candidate component, found by stars of one link a
     node. Each candidate component, or each pair of blocks of a large one, is a
@@ -383,83 +408,89 @@ def components(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     component_id is the smallest doc_id that is reachable. Null and empty texts:
     0 shingles, their own component. A null doc_id takes part, but is nobody's
-    smallest. Repeated rows repeat. Extra columns are left out. No rows: no rows.
+    smallest. Repeated rows repeat. Extra columns are left out. A long text is
+    hashed in pieces; its set is held whole. No rows: no rows.
     """
     named = _rooted(docs, join)
-    least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("k.doc_id").alias("least"))
     out = named.join(least, "root", "left")
     return out.select(
-        "doc_id",
+        "k.doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("k.doc_id")).alias("component_id"),
     )
 
 
 def _rooted(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, k, n, root): root is the same for the rows of a component."""
+    """(k, n, root): root is the same for the rows of a component, k a row's key."""
     described = cut(_describe(docs, join))
-    base = described.where(F.col("slice").isNull()).select("doc_id", "k", "n", "node")
-    links = _candidates(docs, join, _sketch(described))
-    comps = star_components(links, cut)
+    base = described.where(F.col("slice").isNull()).select("k", "n", "node")
+    shared = docs.sparkSession.sparkContext.broadcast(_sketch(described))
+    comps = star_components(_candidates(docs, join, shared), cut)
     roots = comps.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()
     members = comps.select("node", F.col("root").alias("comp")).unionByName(roots)
     chosen = base.where(F.col("n") > 0).groupBy("node", "n").agg(F.min("k").alias("k"))
     members = cut(members.join(chosen, "node"))
-    verified = cut(_verified(docs, members, join))
+    verified = cut(_verified(docs, members, join, shared))
     whole = verified.where("whole").where(F.col("node") != F.col("root")).select("node", "root")
     pieces = verified.where(~F.col("whole"))
     if not pieces.isEmpty():
         edges = pieces.select(F.col("node").alias("a"), F.col("root").alias("b"))
         whole = whole.unionByName(star_components(edges, cut))
     named = base.join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return named.select("doc_id", "k", "n", "root")
+    return named.select("k", "n", "root")
 
 
-def _verified(docs: DataFrame, members: DataFrame, join: Join) -> DataFrame:
+def _verified(docs: DataFrame, members: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     """(node, root, whole): the components found by the prefix trees."""
     # One text of each member node; equal rows give equal sets, of which a tree takes one.
-    texts = with_text(docs.withColumn("k", row_key()), "k").join(members.select("k", "node"), "k").select("node", "text")
+    keyed = with_text(docs, row_key().alias("k"))
+    texts = keyed.join(members.select("k", "node"), "k").select("node", "text")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, bounds, hashes in _sets(batch.column(1), join.width):
-                node = _fingerprints(bounds, hashes)
-                ok = node == batch.column(0).slice(a, b - a).to_numpy()
                 blobs = [hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[ok]), pa.array([s for s, k in zip(blobs, ok, strict=True) if k], pa.binary())],
-                    ["node", "hashes"],
-                )
+                columns = [batch.column(0).slice(a, b - a), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "hashes"])
 
-    sets = texts.mapInArrow(rebuilt, "node long, hashes binary")
+    sets = texts.mapInArrow(rebuilt, "node binary, hashes binary")
     trees = sets.join(_tasks(members.select("node", "comp", "n"), join), "node")
 
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        root = link_sets([np.frombuffer(h, np.uint64) for h in pdf["hashes"]], join)
-        node = pdf["node"].to_numpy()
-        return pd.DataFrame({"node": node, "root": node[root], "whole": pdf["whole"].to_numpy()})
+    def linked(rows: pa.Table) -> pa.Table:
+        nodes = rows["node"].to_pylist()
+        data, offsets = utf8_column(rows["hashes"])
+        first = list({node: i for i, node in enumerate(nodes)}.values())
+        sets = [data[offsets[i] : offsets[i + 1]].copy().view(np.uint64) for i in first]
+        root = link_sets(sets, join, shared.value)
+        whole = rows["whole"][0].as_py() if len(first) else True
+        columns = [[nodes[i] for i in first], [nodes[first[r]] for r in root]]
+        return pa.table(
+            [pa.array(c, pa.binary()) for c in columns] + [pa.array([whole] * len(first), pa.bool_())], ["node", "root", "whole"]
+        )
 
-    return trees.groupBy("comp", "tree").applyInPandas(linked, "node long, root long, whole boolean")
+    return trees.groupBy("comp", "tree").applyInArrow(linked, "node binary, root binary, whole boolean")
 
 
 def keep_one(docs: DataFrame, join: Join = Join(5, 80)) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, then text hash; nulls last.
+    """``docs`` with one row of each component: that of the smallest doc_id, then text digest; nulls last.
 
-    Rows without shingles all stay. Columns stay as they are.
+    Rows are told apart by doc_id and 128 bits of their text. Rows without shingles
+    all stay. Columns stay as they are, whatever their names.
     """
     named = cut(_rooted(docs, join)).where(F.col("n") > 0)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k")))
+    best = F.min(F.struct(F.col("k.doc_id").isNull().alias("none"), F.col("k")))
     kept = named.groupBy("root").agg(best.alias("best")).select("root", F.col("best.k").alias("best"))
-    lost = named.join(kept, "root").where(F.col("k") != F.col("best")).select(F.col("k").alias("_k")).distinct()
-    keyed = docs.withColumn("_k", row_key())
-    out = keyed.join(lost, "_k", "left_anti")
+    name = unused(docs, "k")
+    lost = named.join(kept, "root").where(F.col("k") != F.col("best")).select(F.col("k").alias(name)).distinct()
+    keyed = docs.withColumn(name, row_key())
+    out = keyed.join(lost, name, "left_anti")
     # Rows equal in doc_id and text have one key; few inputs have any.
-    twice = named.groupBy(F.col("k").alias("_k")).count().where("count > 1").select("_k")
+    twice = named.groupBy(F.col("k").alias(name)).count().where("count > 1").select(name)
     if not twice.isEmpty():
-        again = out.join(twice, "_k", "left_semi").dropDuplicates(["_k"])
-        out = out.join(twice, "_k", "left_anti").unionByName(again)
-    return out.drop("_k")
+        again = out.join(twice, name, "left_semi").dropDuplicates([name])
+        out = out.join(twice, name, "left_anti").unionByName(again)
+    return out.drop(name)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
