@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import _INVERSE, cut, documents, mix, powers, text_blocks, utf8_column, with_text
+from partgraph.llm.common import _INVERSE, cut, documents, mix, powers, text_blocks, utf8_column, with_text, written
 
 #: Bytes of a repeated string; bytes of the grams whose hashes choose a window's shard.
 LENGTH, GRAM = 200, 64
-#: Bytes of segments that a shard should hold.
-SHARD = 4 << 20
-#: Runs of one gram beyond which it is split by the content of the windows.
-HOT = 20_000
+#: Bytes of segments that a shard should hold; a gram of more is split by the content of its windows.
+SHARD = 2 << 20
+#: Bytes of one text that are searched at once; the next piece begins with the windows that this one lacks.
+PIECE = 1 << 20
+#: Symbols up to which a bucket's entries are placed together; buckets of larger alphabets are too small for that.
+SMALL_ALPHABET = 1024
+#: Entries under which they are placed one by one.
+FEW = 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -84,6 +89,17 @@ def window_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     return gram.view(np.int64), owner[at], first - offsets[owner[at]], windows, again
 
 
+def text_windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """``window_runs`` of a block of ``text_blocks``; a long text is searched in pieces, which may cut a run in two."""
+    if len(offsets) != 2 or len(data) <= PIECE:
+        yield window_runs(data, offsets)
+        return
+    for a in range(0, len(data) - LENGTH + 1, PIECE):
+        piece = data[a : a + PIECE + LENGTH - 1]
+        gram, row, start, windows, again = window_runs(piece, np.array([0, len(piece)]))
+        yield gram, row, start + a, windows, again
+
+
 # --- the suffix array -----------------------------------------------------------
 
 
@@ -95,8 +111,11 @@ def _induce(t: np.ndarray, small: np.ndarray, ordered: np.ndarray, size: int) ->
     """All suffixes in order, from leftmost-smaller ones in ``ordered``; linear.
 
     Every bucket is taken in order of its symbol; the suffixes that one wave of
-    entries induces into a bucket are placed together, in the entries' order.
+    entries induces into a bucket are placed together, in the entries' order, a wave
+    of few one by one (a run of one symbol induces one at a time).
     """
+    if size > SMALL_ALPHABET:
+        return _induce_singly(t, small, ordered, size)
     n, bounds = len(t), _buckets(t, size)
     sa = np.full(n, -1, np.int64)
     # Leftmost-smaller suffixes at the ends of their buckets.
@@ -104,8 +123,19 @@ def _induce(t: np.ndarray, small: np.ndarray, ordered: np.ndarray, size: int) ->
     grouped = ordered[np.argsort(symbols, kind="stable")]
     counts = np.bincount(symbols, minlength=size)
     group_at = np.append(0, np.cumsum(counts))
-
-    def spread(before: np.ndarray, place: np.ndarray, sign: int) -> None:
+    # Read one by one without numpy's cost for each.
+    texts, kinds, out = memoryview(t), memoryview(small), memoryview(sa)
+
+    def spread(entries: np.ndarray, place: np.ndarray, sign: int, kind: bool) -> None:
+        if len(entries) < FEW:
+            for e in entries.tolist():
+                if e > 0 and kinds[e - 1] == kind:
+                    ch = texts[e - 1]
+                    out[place[ch]] = e - 1
+                    place[ch] += sign
+            return
+        before = entries[entries > 0] - 1
+        before = before[small[before] == kind]
         ch = t[before]
         order = np.argsort(ch, kind="stable")
         ch, before = ch[order], before[order]
@@ -121,15 +151,8 @@ def _induce(t: np.ndarray, small: np.ndarray, ordered: np.ndarray, size: int) ->
         lo = bounds[c]
         while lo < head[c]:
             entries, lo = sa[lo : head[c]], head[c]
-            before = entries[entries > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                spread(before, head, 1)
-        entries = grouped[group_at[c] : group_at[c + 1]]
-        before = entries[entries > 0] - 1
-        before = before[~small[before]]
-        if len(before):
-            spread(before, head, 1)
+            spread(entries, head, 1, False)
+        spread(grouped[group_at[c] : group_at[c + 1]], head, 1, False)
     larger_end = head
     tail = bounds[1:] - 1
     for c in range(size - 1, -1, -1):
@@ -138,43 +161,49 @@ def _induce(t: np.ndarray, small: np.ndarray, ordered: np.ndarray, size: int) ->
         hi = bounds[c + 1] - 1
         while hi > tail[c]:
             entries, hi = sa[tail[c] + 1 : hi + 1][::-1], tail[c]
-            before = entries[entries > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                spread(before, tail, -1)
-        entries = sa[bounds[c] : larger_end[c]][::-1]
-        before = entries[entries > 0] - 1
-        before = before[small[before]]
-        if len(before):
-            spread(before, tail, -1)
+            spread(entries, tail, -1, True)
+        spread(sa[bounds[c] : larger_end[c]][::-1], tail, -1, True)
     sa[0] = n - 1  # the end follows nothing, so nothing induces it
     return sa
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``names`` in order of their first ``depth`` symbols, by doubling; for large alphabets."""
-    rank, k = names.astype(np.int64), 1
-    while True:
-        after = np.zeros(len(rank), np.int64)
-        after[:-k] = rank[k:] + 1 if k < len(rank) else 0
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = key[order[1:]] != key[order[:-1]]
-        rank[order] = np.cumsum(fresh) - 1
-        k *= 2
-        if fresh.all() or k >= depth or k >= len(rank):
-            return order
-
-
-def suffix_array(t: np.ndarray, size: int, depth: int) -> np.ndarray:
-    """The suffixes of ``t`` in order of their first ``depth`` symbols at least.
+def _induce_singly(t: np.ndarray, small: np.ndarray, ordered: np.ndarray, size: int) -> np.ndarray:
+    """``_induce`` for large alphabets: one entry after the other, over arrays of 4 bytes a suffix."""
+    n, bounds = len(t), _buckets(t, size).astype(np.int32)
+    text, kind = array("i", t.astype(np.int32).tobytes()), small.astype(np.uint8).tobytes()
+    sa = array("i", [-1]) * n
+    tail = array("i", (bounds[1:] - 1).tobytes())
+    for e in reversed(ordered.tolist()):
+        c = text[e]
+        sa[tail[c]] = e
+        tail[c] -= 1
+    head = array("i", bounds[:-1].tobytes())
+    # Both walks meet the entries that they place on the way.
+    for e in sa:
+        if e > 0 and not kind[e - 1]:
+            c = text[e - 1]
+            place = head[c]
+            sa[place] = e - 1
+            head[c] = place + 1
+    tail = array("i", (bounds[1:] - 1).tobytes())
+    for e in reversed(sa):
+        if e > 0 and kind[e - 1]:
+            c = text[e - 1]
+            place = tail[c]
+            sa[place] = e - 1
+            tail[c] = place - 1
+    sa[0] = n - 1
+    return np.frombuffer(sa, np.int32).astype(np.int64)
+
+
+def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
+    """The suffixes of ``t`` in order.
 
     ``t`` has symbols below ``size`` and ends with a 0 that stands nowhere else.
     Suffixes are smaller or larger than the next; the leftmost smaller ones cut the
     text into substrings, which are sorted by inducing, named, and sorted as a text
-    of names by recursion (a large alphabet of names by doubling); all other
-    suffixes are induced from them.
+    of names by recursion, whatever the names' number; all other suffixes are
+    induced from them.
     """
     n = len(t)
     if n == 1:
@@ -206,15 +235,20 @@ def suffix_array(t: np.ndarray, size: int, depth: int) -> np.ndarray:
     if fresh.all():
         return _induce(t, small, ordered, size)
     # The end's substring is the smallest and stands alone: its name is 0.
-    if int(names.max()) < 1024:
-        inner = suffix_array(names, int(names.max()) + 1, depth // 2 + 1)
-    else:
-        inner = _doubled(names, depth // 2 + 1)
+    inner = suffix_array(names, int(names.max()) + 1)
     return _induce(t, small, leftmost[inner], size)
 
 
-def common_prefixes(roll: Rolling, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes at a and b, up to ``most`` symbols."""
+def permuted_prefixes(roll: Rolling, sa: np.ndarray, most: int) -> np.ndarray:
+    """In text order, for each suffix of ``sa`` its common prefix with the one before it there, up to ``most`` symbols.
+
+    Found by halving steps over rolling hashes of 64 bits within the shard; -1 for
+    the first suffix and for places that are not in ``sa``.
+    """
+    before = np.full(len(roll.sums), -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    a = np.flatnonzero(before >= 0)
+    b = before[a]
     length = np.zeros(len(a), np.int64)
     step = 1 << (most.bit_length() - 1)
     while step:
@@ -223,7 +257,8 @@ def common_prefixes(roll: Rolling, a: np.ndarray, b: np.ndarray, most: int) -> n
         same = roll.at(a[ok], more[ok]) == roll.at(b[ok], more[ok])
         length[ok[same]] = more[ok[same]]
         step >>= 1
-    return length
+    before[a] = length
+    return before
 
 
 def repeated_windows(segments: list[bytes], first_key: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +273,7 @@ def repeated_windows(segments: list[bytes], first_key: np.ndarray, many: np.ndar
     t[:-1] = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     t[:-1] += 2
     t[at[1:] - 1] = 1
-    sa = suffix_array(t, 258, LENGTH)
+    sa = suffix_array(t, 258)
     owner = np.repeat(np.arange(len(segments)), lengths + 1)
     owner = np.append(owner, 0)
     left = at[1:][owner] - 1 - np.arange(len(t))
@@ -246,9 +281,9 @@ def repeated_windows(segments: list[bytes], first_key: np.ndarray, many: np.ndar
     sa = sa[left[sa] >= LENGTH]
     if not len(sa):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    plcp = common_prefixes(Rolling(t), sa[1:], sa[:-1], LENGTH)
-    cluster = np.append(0, np.cumsum(plcp < LENGTH))
-    starts = np.flatnonzero(np.append(True, plcp < LENGTH))
+    fresh = permuted_prefixes(Rolling(t), sa, LENGTH)[sa] < LENGTH
+    cluster = np.cumsum(fresh) - 1
+    starts = np.flatnonzero(fresh)
     place = first_key[owner[sa]] + (sa - at[owner[sa]]).astype(np.uint64)
     differ = np.minimum.reduceat(place, starts) != np.maximum.reduceat(place, starts)
     differ |= np.logical_or.reduceat(many[owner[sa]], starts)
@@ -267,38 +302,44 @@ def repeated_windows(segments: list[bytes], first_key: np.ndarray, many: np.ndar
 
 
 def _suspects(docs: DataFrame) -> DataFrame:
-    """(gram, t, start, windows) of every window run whose gram stands in another run or twice in its own."""
+    """(gram, t1, t2, start, windows, hot) of every window run whose gram stands in another run or twice in its own.
+
+    The runs are written once and read for counts and rows.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(1)):
-                gram, row, start, windows, again = window_runs(data, offsets)
-                t = batch.column(0).slice(a, b - a).to_numpy()[row]
-                columns = [pa.array(gram), pa.array(t), pa.array(start), pa.array(windows), pa.array(again)]
-                yield pa.RecordBatch.from_arrays(columns, ["gram", "t", "start", "windows", "again"])
-
-    runs = docs.select("t", "text").mapInArrow(work, "gram long, t long, start long, windows long, again boolean")
-    place = F.xxhash64("t", "start")
+            for a, b, data, offsets in text_blocks(batch.column(2)):
+                t1, t2 = (batch.column(i).slice(a, b - a).to_numpy() for i in (0, 1))
+                for gram, row, start, windows, again in text_windows(data, offsets):
+                    columns = [gram, t1[row], t2[row], start, windows, again]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "t1", "t2", "start", "windows", "again"])
+
+    schema = "gram long, t1 long, t2 long, start long, windows long, again boolean"
+    runs = written(docs.select("t1", "t2", "text").mapInArrow(work, schema), "runs")
+    place = F.xxhash64("t1", "t2", "start")
     grams = runs.groupBy("gram").agg(
-        F.min(place).alias("least"), F.max(place).alias("most"), F.max("again").alias("more"), F.count(F.lit(1)).alias("runs")
-    )
-    grams = grams.where((F.col("least") != F.col("most")) | F.col("more")).select("gram", (F.col("runs") > HOT).alias("hot"))
+        F.min(place).alias("least"), F.max(place).alias("most"), F.max("again").alias("more"),
+        F.sum(F.col("windows") + LENGTH).alias("bytes"),
+    )
+    grams = grams.where((F.col("least") != F.col("most")) | F.col("more")).select("gram", (F.col("bytes") > SHARD).alias("hot"))
     return runs.drop("again").join(grams, "gram")
 
 
 def repeated_spans(texts: DataFrame, suspects: DataFrame, chosen: DataFrame) -> DataFrame:
     """(t, spans): for each text the byte runs under repeated windows, unordered and overlapping.
 
-    ``chosen`` (t, k) names the row k of ``texts`` (k, text) that stands for each
-    text. Window runs are cut out of those rows as segments and dealt to shards by their gram, so equal windows meet; a
+    ``chosen`` (t1, t2, t, k) names the row k of ``texts`` (k, text) that stands for
+    each text, and its number t. Window runs are cut out of those rows as segments and dealt to shards by their gram, so equal windows meet; a
     shard keeps distinct segments once and sorts their suffixes. Runs of a gram
-    that more than HOT runs share are split by the hash of each window first, with
-    counts aggregated before the shuffle, so that no shard is unbounded.
+    whose segments have more than SHARD bytes are split by the hash of each window first, with
+    counts aggregated before the shuffle, so that a shard holds grams of at most
+    SHARD bytes each, SHARD in all on the average.
     """
-    per_text = suspects.groupBy("t").agg(F.collect_set(F.struct("gram", "start", "windows", "hot")).alias("runs"))
+    per_text = suspects.groupBy("t1", "t2").agg(F.collect_set(F.struct("gram", "start", "windows", "hot")).alias("runs"))
     total = suspects.agg(F.sum(F.when(~F.col("hot"), F.col("windows") + LENGTH))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
-    with_runs = texts.join(per_text.join(chosen, "t"), "k").select("t", "text", "runs")
+    with_runs = texts.join(per_text.join(chosen, ["t1", "t2"]), "k").select("t", "text", "runs")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,28 +423,22 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     texts. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256, and kept (the bytes left) if ``keep_text``.
 
-    Texts that stand several times are known by their hash (128 bits): they repeat
+    Texts that stand several times are known by two hashes (128 bits): they repeat
     whole, and one of each takes part in the search. Null and empty texts: no bytes.
-    Texts under LENGTH bytes stay whole. Repeated rows are copies of each other.
+    Texts under LENGTH bytes stay whole; long ones are searched in pieces. Repeated rows are copies of each other.
     Null doc_ids are ids like others. Extra columns are left out. No rows: no rows.
     """
-    full = with_text(docs, "doc_id").withColumn("t", F.xxhash64("text"))
-    full = full.withColumn("k", F.xxhash64("doc_id", "t"))
+    full = with_text(docs, "doc_id").withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    full = full.withColumn("k", F.struct("doc_id", "t1", "t2"))
     base = cut(
-        full.select(
-            "doc_id",
-            "t",
-            F.xxhash64(F.lit(1), "text").alias("t2"),
-            "k",
-            F.octet_length("text").cast("long").alias("n_bytes"),
-            F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
-        )
+        full.select("k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     )
-    copies = base.groupBy("t", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("k").alias("k"))
+    copies = base.groupBy("k.t1", "k.t2").agg(F.count(F.lit(1)).alias("copies"), F.min("k").alias("k"))
+    copies = cut(copies.withColumn("t", F.monotonically_increasing_id()))
     suspects = cut(_suspects(full))
     texts = full.select("k", "text")
     # Not cut: the texts are dealt by k once for the search and for the result.
-    spans = repeated_spans(texts, suspects, copies.select("t", "k"))
+    spans = repeated_spans(texts, suspects, copies.select("t1", "t2", "t", "k"))
     single = copies.where(F.col("copies") == 1).select("t", "k")
     extra = ", kept binary" if keep_text else ""
 
@@ -427,14 +462,14 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns + [pa.array(rest, pa.binary())] * keep_text, names)
 
     runs_of = texts.join(single.join(spans, "t").select("k", "spans"), "k")
-    changed = runs_of.mapInArrow(removed, "k long, n_removed long, n_spans long, sha_kept string" + extra)
+    changed = runs_of.mapInArrow(removed, "k struct<doc_id:long,t1:long,t2:long>, n_removed long, n_spans long, sha_kept string" + extra)
     # A row is the only one of its text if its key is a single's: copies of a text needn't meet to know it.
     known = single.select("k", F.lit(True).alias("single")).join(changed, "k", "left")
     out = base.join(known, "k", "left")
     whole = F.col("single").isNull() & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
     columns = [
-        "doc_id",
+        "k.doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
