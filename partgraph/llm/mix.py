@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import documents
+from partgraph.llm.common import documents, unused, written
 
 #: Weights dealt to the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source and no document is repeated more often than this.
 MOST_COPIES = 3
-#: Slices of one (source, size) group, so that a hot group is not one task.
-SLICES = 64
+#: Hexadecimal digits of the hash of doc_id that make the slices of one (source, size) group: 256 slices, so that a
+#: hot group is not one task.
+SLICE_DIGITS = 2
 
 
 def offset_of(seed: int) -> float:
@@ -63,7 +64,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     """Copies of each document so that sources meet their target weights.
 
     A document's expected copies are target / size of its source. Within a source
-    the documents stand in order of (size, doc_id mod 64, doc_id); the prefix sum
+    the documents stand in order of (size, slice, doc_id), a slice being the first digits of
+    doc_id's MD5; the prefix sum
     of the expected copies plus one random offset crosses an integer boundary once
     for each copy emitted. Standing by size makes the words taken come within
     about one long document of the target. The prefix sum is distributed: counts
@@ -75,52 +77,52 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     input are replaced. Null text: size 0, never copied unless its source has
     words. Null source: a source of its own, last in order. Equal doc_ids: each
     row counts; equal rows are interchangeable. A source of no words: target 0,
-    no copies. No rows: no rows.
+    no copies. Other columns stay, whatever their names. A text of any length is
+    counted in its row. No rows: no rows.
     """
     made = ("size", "source_size", "target", "copies", "taken")
     return _sample(docs.drop(*made).withColumn("size", n_words(F.col("text"))), weights, most, seed)
 
 
+def slice_of(doc_id: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, SLICE_DIGITS)
+
+
 def _sample(d: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
     """``mix`` of rows that have their size."""
+    src, slot, below, ahead, rank, n = (unused(d, x) for x in ("src", "slot", "below", "ahead", "rank", "n"))
     # A struct is never null, so the joins below keep a null source.
-    source = F.struct(F.col("source").cast("string").alias("source"))
-    slot = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(SLICES))
-    base = d.withColumns({"_src": source, "_slot": slot})
-    slots = base.groupBy("_src", "size", "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    by_size = slots.groupBy("_src", "size").agg(F.sum("_n").alias("_docs"))
+    base = d.withColumns({src: F.struct(F.col("source").cast("string").alias("source")), slot: slice_of(F.col("doc_id"))})
+    slots = base.groupBy(src, "size", slot).agg(F.count(F.lit(1)).alias(n))
+    by_size = slots.groupBy(src, "size").agg(F.sum(n).alias("docs"))
     before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    by_size = by_size.withColumn(
-        "_below", F.coalesce(F.sum("_docs").over(before(W.partitionBy("_src").orderBy("size"))), zero)
-    )
-    sizes = by_size.groupBy("_src").agg(F.sum(F.col("size") * F.col("_docs")).alias("source_size"))
-    targets = source_targets(sizes.select(F.col("_src.source").alias("source"), "source_size"), weights, most)
-    targets = targets.withColumn("_src", F.struct("source")).drop("source")
-    by_size = by_size.drop("_docs").join(targets, "_src")
-    slots = slots.withColumn(
-        "_ahead", F.coalesce(F.sum("_n").over(before(W.partitionBy("_src", "size").orderBy("_slot"))), zero)
-    )
-    slots = slots.drop("_n").join(by_size, ["_src", "size"])
-    within = W.partitionBy("_src", "size", "_slot").orderBy("doc_id")
-    rows = base.withColumn("_rank", F.row_number().over(within)).join(slots, ["_src", "size", "_slot"])
+    by_size = by_size.withColumn(below, F.coalesce(F.sum("docs").over(before(W.partitionBy(src).orderBy("size"))), zero))
+    sizes = by_size.groupBy(src).agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
+    targets = source_targets(sizes.select(F.col(src)["source"].alias("source"), "source_size"), weights, most)
+    targets = targets.withColumn(src, F.struct("source")).drop("source")
+    by_size = by_size.drop("docs").join(targets, src)
+    slots = slots.withColumn(ahead, F.coalesce(F.sum(n).over(before(W.partitionBy(src, "size").orderBy(slot))), zero))
+    slots = slots.drop(n).join(by_size, [src, "size"])
+    within = W.partitionBy(src, "size", slot).orderBy("doc_id")
+    rows = base.withColumn(rank, F.row_number().over(within)).join(slots, [src, "size", slot])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place = F.col("_below") + F.col("_ahead") + F.col("_rank")
+    place = F.col(below) + F.col(ahead) + F.col(rank)
     u = F.lit(offset_of(seed))
     copies = (F.floor(each * place + u) - F.floor(each * (place - 1) + u)).cast("long")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.drop("_src", "_slot", "_below", "_ahead", "_rank")
+    return rows.drop(src, slot, below, ahead, rank)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """One row for each copy of ``mix``'s result, numbered in ``copy`` from 1."""
+    """One row for each copy of ``mix``'s result, numbered in ``copy`` from 1 (``copy_`` if the input has a ``copy``)."""
     numbers = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return mixed.withColumn("copy", F.explode(numbers))
+    return mixed.withColumn(unused(mixed, "copy"), F.explode(numbers))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract of operator 2 over all documents; only (doc_id, source, size) are shuffled."""
-    d = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    """Contract of operator 2 over all documents; texts are counted once, and only (doc_id, source, size) go on."""
+    d = written(documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     return _sample(d, WEIGHTS, MOST_COPIES, 7).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -139,7 +141,7 @@ c as (select min({{'ratio': ratio, 'level': level}}) filter (level <= ratio) cho
 t as (select source, source_size, least(cap, coalesce(chosen.level * weight, cap)) target from l, c),
 p as (select doc_id, size, source_size, target,
              case when source_size > 0 then target / source_size else 0.0 end each_,
-             row_number() over (partition by d.source order by size, ((doc_id % 64) + 64) % 64, doc_id) place
+             row_number() over (partition by d.source order by size, left(md5(coalesce(doc_id::varchar, '')), {SLICE_DIGITS}), doc_id) place
       from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
        ((floor(each_ * place + {offset_of(7)!r}) - floor(each_ * (place - 1) + {offset_of(7)!r})) * size)::bigint taken
