@@ -10,9 +10,10 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import table
+from partgraph.llm.common import cut, small_batches, table
 
 #: States of the automaton: what the last turn written is. 0: nothing yet.
 STATES = ("start", "system", "user", "assistant")
@@ -20,7 +21,7 @@ STATES = ("start", "system", "user", "assistant")
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 LAST = 3
 MERGE, RELABEL, INSERT = 1, 2, 3
-#: Turns of a conversation are worked on in parts by turn number, so that a huge one is not one task.
+#: A conversation of more turns is worked on and written in parts of so many, so that a huge one is not one task.
 PART = 4096
 
 
@@ -182,6 +183,37 @@ RESULT = (
 )
 
 
+_ORDER = ("turn", "role", "text")
+
+
+def numbered(rows: DataFrame, part: int) -> DataFrame:
+    """``rows`` (conv_id, turn, role, text) with part: their place in the conversation divided by ``part``.
+
+    A conversation of up to ``part`` turns is part 0. The turns of longer ones are
+    dealt by range and sorted; a turn's place is its place in its range and what
+    stands before that range, so no task holds a conversation, be its turns
+    numbered, without a number or all alike.
+    """
+    turns = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
+    # A struct is never null, so a null conv_id is found like others.
+    long = cut(turns.select(F.struct("conv_id").alias("c")))
+    keyed = rows.withColumn("c", F.struct("conv_id"))
+    zero = F.lit(0).cast("long")
+    if long.isEmpty():
+        return rows.withColumn("part", zero)
+    short = keyed.join(long, "c", "left_anti").drop("c").withColumn("part", zero)
+    most = keyed.join(long, "c").drop("c").withColumn("any", F.monotonically_increasing_id())
+    order = ["conv_id", *_ORDER, "any"]
+    dealt = most.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = cut(dealt.withColumns({"range": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).drop("any"))
+    counts = dealt.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    ahead = F.sum("n").over(W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(F.struct("conv_id", "range").alias("r"), (F.coalesce(ahead, zero) - F.col("first")).alias("shift"))
+    placed = dealt.withColumn("r", F.struct("conv_id", "range")).join(counts, "r")
+    placed = placed.withColumn("part", F.floor((F.col("at") + F.col("shift")) / part).cast("long"))
+    return short.unionByName(placed.select(*short.columns))
+
+
 def repair(turns: DataFrame, part: int = PART) -> DataFrame:
     """Conversations with the cheapest legal roles, rendered.
 
@@ -190,21 +222,24 @@ def repair(turns: DataFrame, part: int = PART) -> DataFrame:
     into the one before (cost 1), given another role (cost 2, also what an unknown
     or null role costs), or preceded by an empty turn (cost 3 each); the sum is
     least. Ties go to the smaller role at the end of a part, then at the earliest
-    turn. One row for each conversation, or for each part of ``part`` turn numbers
-    of a longer one, to be read in order of part: costs of parts are combined as
-    min-plus matrices, so no task holds a whole conversation.
+    turn. One row for each conversation of up to ``part`` turns, however they are
+    numbered; one for each ``part`` turns of a longer one, to be read in order of
+    part: costs of parts are combined as min-plus matrices, so no task holds more
+    turns than that.
 
     Null conv_id: one conversation of its own. Null turn: before the others. Equal
     turns stand in order of role, then text; repeated rows are repeated turns. Null
-    text: empty. Extra columns are left out. No rows: no rows.
+    text: empty; a text of any length is one turn's. Extra columns are left out. No
+    rows: no rows.
     """
+    small_batches(turns.sparkSession)
     rows = turns.select(
         F.col("conv_id").cast("long"),
-        F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / part).cast("long").alias("part"),
         F.col("turn").cast("long"),
         F.trim(F.lower(F.col("role").cast("string"))).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    rows = numbered(rows, part)
     rows = rows.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text")
 
     way_schema = "conv_id long, part long, way array<double>"
