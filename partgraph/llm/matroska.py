@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import documents, utf8_column, with_text
+from partgraph.llm.common import documents, small_batches, utf8_column, with_text
 
 # Element ids of the published Matroska specification (RFC 9559).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -280,17 +280,20 @@ def mux(payload: bytes, frame: int = FRAME, rate: int = RATE, lacing: int = FIXE
 
 PACKET_SCHEMA = (
     "id long, track int, codec string, packet int, timestamp_ns long, start long, size long, "
-    "keyframe boolean, cluster long, error string"
+    "keyframe boolean, cluster long, cue_ns long, error string"
 )
 
 
 def packets(media: DataFrame, key: str, column: str) -> DataFrame:
     """The packet table of a column of Matroska files: one row a packet.
 
+    cluster is where the packet's cluster begins and cue_ns the time of the cue that
+    points there for its track (the last one, if several do; null without one).
     ``key`` is a long, ``column`` binary; other columns are left out. A null or
     empty file, or one without packets, has one row with a null packet and the
     error. A damaged file keeps the packets before the damage, each with the
-    error. Repeated rows repeat their packets.
+    error. Repeated rows repeat their packets; null keys stay null; no rows give no
+    rows. A file is held whole, its packets are written 64 files at a time.
     """
     fields = PACKET_SCHEMA.split(", ")
 
@@ -301,11 +304,12 @@ def packets(media: DataFrame, key: str, column: str) -> DataFrame:
                 keys = batch.column(0).slice(at, 64).to_pylist()
                 for k, data in zip(keys, batch.column(1).slice(at, 64).to_pylist(), strict=True):
                     m = parse(data or b"")
+                    cue = {(track, cluster): ns for ns, track, cluster in m.cues}
                     rows = [
-                        (k, t, m.tracks.get(t, {}).get("codec"), i, ns, start, size, is_key, c, m.error)
+                        (k, t, m.tracks.get(t, {}).get("codec"), i, ns, start, size, is_key, c, cue.get((t, c)), m.error)
                         for i, (t, ns, start, size, is_key, c) in enumerate(m.packets)
                     ]
-                    for row in rows or [(k, *[None] * 8, m.error)]:
+                    for row in rows or [(k, *[None] * 9, m.error)]:
                         for values, v in zip(out, row, strict=True):
                             values.append(v)
                 kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
@@ -313,6 +317,7 @@ def packets(media: DataFrame, key: str, column: str) -> DataFrame:
                 arrays = [pa.array(v, kinds[f.split()[1]]) for v, f in zip(out, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
+    small_batches(media.sparkSession)
     return media.select(F.col(key).cast("long"), F.col(column).cast("binary")).mapInArrow(read, PACKET_SCHEMA)
 
 

@@ -132,7 +132,8 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     kind token where it has fewer than MOST_CHARS_A_TOKEN characters a token, is no
     known digest or identifier and touches no base span.
     Only texts with a keyword or such a run are decoded. The vocabulary file (about
-    1 MB, fixed) is read on the driver and sent to the tasks. Null and empty texts:
+    1 MB, fixed; ``vocabulary`` is a path that the driver can open, else this raises
+    FileNotFoundError before any job) is read on the driver and sent to the tasks. Null and empty texts:
     no spans, base_sha256 of the empty string. Repeated rows give repeated results;
     other columns are left out; no rows give no rows.
     """
