@@ -8,12 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from partgraph.llm import chat, decontaminate, licenses, line_dedup, matroska, mix, ngram_join, quality, secrets, suffix_dedup
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mix.op2_mix_sources,
@@ -25,7 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_ngram_join": ngram_join.op10_ngram_join,
-    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
