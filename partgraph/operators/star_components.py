@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partgraph.plans.joins import skew_join
+
 
 def star_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], most: int = 64) -> DataFrame:
     """(node, root) for every vertex that is not the smallest of its component.
@@ -28,9 +30,9 @@ def star_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], mos
     for _ in range(most):
         both = e.unionByName(e.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.min(F.least(a, b)).alias("m"))
-        big = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b"))
+        big = skew_join(both, least, ["a"]).where(b > a).select(b.alias("a"), F.col("m").alias("b"))
         least = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b)
+        small = skew_join(big, least, ["a"]).select(b.alias("a"), F.col("m").alias("b")).where(a != b)
         e = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == before:
