@@ -82,16 +82,26 @@ class Graph:
 
     def validated(self) -> Graph:
         """This graph, or ValueError for null ids or repeated vertex ids."""
-        v, e = self.vertices, self.edges
-        repeated = v.groupBy("id").count().where(F.col("id").isNull() | (F.col("count") > 1)).limit(1).collect()
-        if repeated:
-            row = repeated[0]
-            raise ValueError("null vertex id" if row["id"] is None else f"repeated vertex id {row['id']!r}")
-        if not e.where(F.col("src").isNull() | F.col("dst").isNull()).isEmpty():
-            raise ValueError("null edge end")
+        check_vertices(self.vertices)
+        check_edges(self.edges)
         return self
 
 
+def check_vertices(vertices: DataFrame) -> None:
+    """ValueError for a null or repeated id."""
+    keys = [c for c in ("part", "id") if c in vertices.columns]
+    repeated = vertices.groupBy(*keys).count().where(F.col("id").isNull() | (F.col("count") > 1)).limit(1).collect()
+    if repeated:
+        row = repeated[0]
+        raise ValueError("null vertex id" if row["id"] is None else f"repeated vertex id {row['id']!r}")
+
+
+def check_edges(edges: DataFrame) -> None:
+    """ValueError for a null end."""
+    if not edges.where(F.col("src").isNull() | F.col("dst").isNull()).isEmpty():
+        raise ValueError("null edge end")
+
+
 def _id(frame: DataFrame, at: int) -> Column:
     name = frame.columns[at]
     integer = isinstance(frame.schema[name].dataType, T.IntegralType)

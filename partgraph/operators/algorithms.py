@@ -11,6 +11,7 @@ from partgraph.functions.kernels import ComponentsKernel, ShortestPathsKernel
 from partgraph.functions.programs import MIN, NativeProgram
 from partgraph.graph import UNREACHED, Graph
 from partgraph.operators.star_components import star_components
+from partgraph.operators.superstep import NO_VERTEX
 from partgraph.plans.iterate import Result, iterate
 from partgraph.plans.lineage import cut
 
@@ -23,12 +24,13 @@ class ConnectedComponents:
     follow the graph), "native" sends values along edges without Python, "star"
     links components by alternating star steps, in about log(vertices) rounds for
     graphs of any diameter; it has no supersteps, so max_iterations bounds its
-    rounds.
+    rounds. placement: "hash" or "range", see ``iterate``.
     """
 
     max_iterations: int
     mode: str = "kernel"
     num_partitions: int | None = None
+    placement: str = "hash"
 
     def run(self, graph: Graph) -> DataFrame:
         return self.result(graph).vertices
@@ -40,7 +42,7 @@ class ConnectedComponents:
         both = plain.undirected()
         both = Graph(both.vertices, both.edges.distinct())
         program = ComponentsKernel() if self.mode == "kernel" else NativeProgram(lambda value, _: value)
-        return iterate(both, program, MIN, self.max_iterations, self.num_partitions, "connected components")
+        return iterate(both, program, MIN, self.max_iterations, self.num_partitions, "connected components", self.placement)
 
     def _star(self, graph: Graph) -> Result:
         graph.validated()
@@ -48,7 +50,7 @@ class ConnectedComponents:
         ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
         missing = ends.join(graph.vertices, "id", "left_anti").limit(1).collect()
         if missing:
-            raise ValueError(f"Target vertex '{missing[0]['id']}' does not exist!.")
+            raise ValueError(f"{NO_VERTEX}: {missing[0]['id']}")
         stars = star_components(links, cut, max(self.max_iterations, 2))
         named = graph.vertices.join(stars.select(F.col("node").alias("id"), "root"), "id", "left")
         named = named.withColumn("root", F.coalesce("root", "id"))
@@ -62,12 +64,14 @@ class ShortestPaths:
 
     Initial vertex values are overwritten. A source that is no vertex reaches
     nothing. "native" mode takes negative edge values, "kernel" refuses them.
+    placement: "hash" or "range", see ``iterate``.
     """
 
     source: int
     max_iterations: int
     mode: str = "kernel"
     num_partitions: int | None = None
+    placement: str = "hash"
 
     def initial(self, graph: Graph) -> Graph:
         return graph.map_vertices(lambda i, _: F.when(i == F.lit(self.source), F.lit(0.0)).otherwise(F.lit(UNREACHED)))
@@ -82,4 +86,4 @@ class ShortestPaths:
         # The sentinel is never added to.
         native = NativeProgram(lambda value, weight: F.when(value < UNREACHED, value + weight), "double")
         program = ShortestPathsKernel() if self.mode == "kernel" else native
-        return iterate(start, program, MIN, self.max_iterations, self.num_partitions, "shortest paths")
+        return iterate(start, program, MIN, self.max_iterations, self.num_partitions, "shortest paths", self.placement)

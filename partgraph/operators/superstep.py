@@ -12,10 +12,22 @@ from pyspark.sql import functions as F
 from partgraph.functions.programs import Combine, Context, NativeProgram, PartitionProgram, VertexUpdate
 
 
+#: What a message to an id that is no vertex is told, before the id.
+NO_VERTEX = "a message was sent to an id that is no vertex"
+
+
+def keys_of(frame: DataFrame) -> list[str]:
+    """The columns that frames of one iteration are joined by."""
+    return [c for c in ("part", "id") if c in frame.columns]
+
+
 def expand(active: DataFrame, edges: DataFrame) -> DataFrame:
     """Rich edges (src_id, src_value, edge_value, dst_id): the out-edges of the active vertices."""
     value = F.col("e.value") if "value" in edges.columns else F.lit(None).cast("long")
-    joined = active.alias("v").join(edges.alias("e"), F.col("v.id") == F.col("e.src"))
+    same = F.col("v.id") == F.col("e.src")
+    if "part" in edges.columns:
+        same = (F.col("v.part") == F.col("e.part")) & same
+    joined = active.alias("v").join(edges.alias("e"), same)
     return joined.select(
         F.col("v.id").alias("src_id"), F.col("v.value").alias("src_value"), value.alias("edge_value"), F.col("e.dst").alias("dst_id")
     )
@@ -41,17 +53,18 @@ def messages(rich: DataFrame, program: PartitionProgram | NativeProgram, superst
 
 def check_target(known: Column, target: Column, result: Column) -> Column:
     """``result``, or an error that names the target where there is no such vertex."""
-    error = F.concat(F.lit("Target vertex '"), target.cast("string"), F.lit("' does not exist!."))
+    error = F.concat(F.lit(NO_VERTEX + ": "), target.cast("string"))
     return F.when(known, result).otherwise(F.raise_error(error))
 
 
 def combine(msgs: DataFrame, state: DataFrame, rule: Combine) -> DataFrame:
     """(id, value) of the vertices that change, by an aggregate with partial sums before the shuffle."""
-    best = msgs.groupBy("id").agg(rule.combined(F.col("msg")).alias("msg"))
-    s = state.select("id", "value", F.lit(True).alias("known"))
-    joined = best.join(s, "id", "left")
+    keys = keys_of(msgs)
+    best = msgs.groupBy(*keys).agg(rule.combined(F.col("msg")).alias("msg"))
+    s = state.select(*keys, "value", F.lit(True).alias("known"))
+    joined = best.join(s, keys, "left")
     change = check_target(F.col("known").isNotNull(), F.col("id"), rule.better(F.col("msg"), F.col("value")))
-    return joined.where(change).select("id", F.col("msg").cast(state.schema["value"].dataType).alias("value"))
+    return joined.where(change).select(*keys, F.col("msg").cast(state.schema["value"].dataType).alias("value"))
 
 
 def update(msgs: DataFrame, state: DataFrame, rule: VertexUpdate, superstep: int) -> DataFrame:
@@ -60,10 +73,12 @@ def update(msgs: DataFrame, state: DataFrame, rule: VertexUpdate, superstep: int
     Messages are sorted by target and streamed through the rule, so a target of
     any number of messages costs no memory.
     """
-    s = state.select("id", "value", F.lit(True).alias("known"))
-    joined = msgs.join(s, "id", "left")
+    keys = keys_of(msgs)
+    s = state.select(*keys, "value", F.lit(True).alias("known"))
+    joined = msgs.join(s, keys, "left")
     value = check_target(F.col("known").isNotNull(), F.col("id"), F.col("value"))
-    rows = joined.select("id", value.alias("value"), "msg").repartition("id").sortWithinPartitions("id")
+    rows = joined.select(*keys, value.alias("value"), "msg")
+    rows = (rows if "part" in keys else rows.repartition("id")).sortWithinPartitions("id")
     kinds = {f.name: f.dataType.simpleString() for f in state.schema}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,11 +114,14 @@ def update(msgs: DataFrame, state: DataFrame, rule: VertexUpdate, superstep: int
         if ids:
             yield pd.DataFrame({"id": ids, "value": values})
 
-    return rows.mapInPandas(run, f"id {kinds['id']}, value {kinds['value']}")
+    changed = rows.select("id", "value", "msg").mapInPandas(run, f"id {kinds['id']}, value {kinds['value']}")
+    # A vertex stays where it was.
+    return changed if "part" not in keys else changed.join(state.select("part", "id"), "id").select("part", "id", "value")
 
 
 def apply_updates(state: DataFrame, updated: DataFrame) -> DataFrame:
     """The state with the new values; vertices without one keep theirs."""
-    new = updated.select("id", F.col("value").alias("new"), F.lit(True).alias("hit"))
+    keys = keys_of(state)
+    new = updated.select(*keys, F.col("value").alias("new"), F.lit(True).alias("hit"))
     value = F.when(F.col("hit"), F.col("new")).otherwise(F.col("value"))
-    return state.join(new, "id", "left").select("id", value.alias("value"))
+    return state.join(new, keys, "left").select(*keys, value.alias("value"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partgraph.functions.programs import Combine, NativeProgram, PartitionProgram, VertexUpdate
-from partgraph.graph import Graph
+from partgraph.graph import Graph, check_edges, check_vertices
 from partgraph.operators import superstep as step
 from partgraph.plans.lineage import cut, settings
+from partgraph.plans.placement import Hashed, Ranged
 
 #: Supersteps whose updates are laid over the state before it is written anew.
 OVERLAY = 4
+#: Out-edges beyond which a vertex is a hub, and how many hubs there may be: with more edges the bar is raised.
+HUB_DEGREE, MOST_HUBS = 100_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -25,6 +29,20 @@ class Result:
     converged: bool
 
 
+def split_hubs(edges: DataFrame, degree: int) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, hubs): the sources of more than ``degree`` edges, or None.
+
+    At most edges / degree vertices can have so many, so the bar is raised until
+    that is MOST_HUBS: the table of hubs is of bounded size by arithmetic.
+    """
+    total = edges.count()
+    bar = max(degree, math.ceil(total / MOST_HUBS))
+    if total <= bar:
+        return edges, None
+    hubs = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bar).select("src"))
+    return edges, None if hubs.isEmpty() else hubs
+
+
 def iterate(
     graph: Graph,
     program: PartitionProgram | NativeProgram,
@@ -32,49 +50,80 @@ def iterate(
     max_iterations: int,
     num_partitions: int | None = None,
     name: str = "partition-centric iteration",
+    placement: str = "hash",
+    hub_degree: int = HUB_DEGREE,
 ) -> Result:
     """Run supersteps until no vertex changes or ``max_iterations`` are done.
 
     In a superstep the out-edges of the active vertices are expanded, the program
     sends messages from each partition, and the rule updates their targets, which
     are the next active ones; at first all vertices are. Edges, state and updates
-    are hash-partitioned by vertex once, so a superstep shuffles its messages only.
-    That needs adaptive execution off and as many shuffle partitions as there are
-    partitions; both hold within the loop and are put back after it. Each update is
-    a checkpoint; the state is written anew every OVERLAY supersteps, so a superstep
-    of few changes writes little. All vertices are returned.
+    are partitioned and sorted by vertex once, so a superstep shuffles its messages
+    only and sorts no edges or vertices again. That needs adaptive execution off and
+    as many shuffle partitions as there are partitions; both hold within the loop
+    and are put back after it. Each update is a checkpoint; the state is written anew
+    every OVERLAY supersteps, so a superstep of few changes writes little. All
+    vertices are returned.
+
+    ``placement``: "hash" deals vertices by a hash of their id; "range" keeps ids
+    that are near each other in one partition, so that a kernel goes far within it
+    where ids follow the graph. The out-edges of a hub, a vertex of more than
+    ``hub_degree``, are dealt over all partitions and meet its value by broadcast.
     """
     if max_iterations < 1:
         raise ValueError("max_iterations must be 1 or more")
-    graph.validated()
     spark = graph.spark
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     context = spark.sparkContext
-    wanted = {"spark__sql__adaptive__enabled": "false", "spark__sql__shuffle__partitions": parts}
-    with settings(spark, **wanted):
-        edges = graph.edges.repartition(parts, "src").persist()
-        state = cut(graph.vertices.repartition(parts, "id"))
-        active, number, overlaid, done = state, 0, 0, False
-        try:
-            while number < max_iterations:
-                number += 1
-                context.setJobDescription(f"{name}, superstep {number}")
-                msgs = step.messages(step.expand(active, edges), program, number)
-                if isinstance(rule, Combine):
-                    changed = step.combine(msgs, state, rule)
-                else:
-                    changed = step.update(msgs, state, rule, number)
-                active = cut(changed)
-                if active.isEmpty():
-                    done = True
-                    break
-                state, overlaid = step.apply_updates(state, active), overlaid + 1
-                if overlaid == OVERLAY:
-                    state, overlaid = cut(state), 0
-            # The result must not be planned anew under other settings.
-            if overlaid:
-                state = cut(state)
-        finally:
-            edges.unpersist()
-            context.setJobDescription(None)
+    wanted = {
+        "spark__sql__adaptive__enabled": "false",
+        "spark__sql__shuffle__partitions": parts,
+        "spark__sql__requireAllClusterKeysForCoPartition": "false",
+    }
+    raw = graph.edges.persist()
+    try:
+        check_edges(raw)
+        raw, hubs = split_hubs(raw, hub_degree)
+        with settings(spark, **wanted):
+            vertices = graph.vertices.persist()
+            place = Hashed(parts) if placement == "hash" else Ranged.of(vertices, parts)
+            state = cut(place.vertices(vertices))
+            vertices.unpersist()
+            check_vertices(state)
+            light = raw if hubs is None else raw.join(F.broadcast(hubs), "src", "left_anti")
+            edges = place.edges(light).persist()
+            heavy = None
+            if hubs is not None:
+                heavy = raw.join(F.broadcast(hubs), "src").repartition(parts, "src", "dst").persist()
+            active, number, overlaid, done = state, 0, 0, False
+            try:
+                while number < max_iterations:
+                    number += 1
+                    context.setJobDescription(f"{name}, superstep {number}")
+                    rich = step.expand(active, edges)
+                    if heavy is not None:
+                        few = active.join(F.broadcast(hubs.withColumnRenamed("src", "id")), "id", "left_semi")
+                        rich = rich.unionByName(step.expand(F.broadcast(few), heavy))
+                    msgs = place.messages(step.messages(rich, program, number))
+                    if isinstance(rule, Combine):
+                        changed = step.combine(msgs, state, rule)
+                    else:
+                        changed = step.update(msgs, state, rule, number)
+                    active = cut(changed)
+                    if active.isEmpty():
+                        done = True
+                        break
+                    state, overlaid = step.apply_updates(state, active), overlaid + 1
+                    if overlaid == OVERLAY:
+                        state, overlaid = cut(state), 0
+                # The result must not be planned anew under other settings.
+                if overlaid:
+                    state = cut(state)
+            finally:
+                edges.unpersist()
+                if heavy is not None:
+                    heavy.unpersist()
+                context.setJobDescription(None)
+    finally:
+        raw.unpersist()
     return Result(state.select("id", F.col("value")), number, done)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder of checkpoints: the session's ``spark.checkpoint.dir``.
 
-    One is made here only where the session has none (local tests).
+    One is made here only where the session has none and runs in one process
+    (local tests); on a cluster, which can't share it, that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="partgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="partgraph-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -26,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(path: str, spark: SparkSession) -> None:
+    """Delete a folder of intermediate rows below ``shared_folder`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
     """SQL settings (dots written as double underscores) that are put back afterwards, also on error."""

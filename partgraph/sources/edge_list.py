@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def read_edges(spark: SparkSession, path: str, weighted: bool = False, sep: str = " ", comment: str = "%") -> DataFrame:
-    """(src, dst[, value double]) of a file or folder; lines that begin with ``comment`` are left out.
+def read_edges(spark: SparkSession, path: str, weighted: bool = False, sep: str = r"\s+", comment: str = "%") -> DataFrame:
+    """(src, dst[, value double]) of a file or folder; blank lines and those that begin with ``comment`` are left out.
 
-    The schema is given, so nothing is read twice. A line that does not parse fails
-    the read; further columns (a time, say) are ignored.
+    ``sep`` is a pattern. A line whose first fields are no numbers fails the read and
+    is named in the error; further columns (a time, say) are ignored.
     """
-    schema = "src long, dst long" + (", value double" if weighted else "")
-    options = {"sep": sep, "comment": comment, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": True}
-    rows = spark.read.schema(schema).options(**options).csv(path)
-    return rows.where("src is not null and dst is not null")
+    lines = spark.read.text(path).select(F.trim("value").alias("line"))
+    lines = lines.where((F.col("line") != "") & ~F.startswith("line", F.lit(comment)))
+    fields = F.split("line", sep)
+    kinds = {"src": "long", "dst": "long"} | ({"value": "double"} if weighted else {})
+    made = [F.get(fields, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(kinds.items())]
+    rows = lines.select("line", *made)
+    good = F.lit(True)
+    for name in kinds:
+        good &= F.col(name).isNotNull()
+    error = F.raise_error(F.concat(F.lit("this line is no edge: "), F.col("line")))
+    return rows.where(F.when(good, True).otherwise(error)).select(*kinds)
 
 
 def write_vertices(vertices: DataFrame, path: str, sep: str = " ") -> None:

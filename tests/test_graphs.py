@@ -5,13 +5,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from partgraph.functions.kernels import DisjointSets
+from partgraph.functions.kernels import ComponentsKernel, DisjointSets
 from partgraph.functions.programs import MIN, NativeProgram, PartitionProgram, VertexUpdate
 from partgraph.graph import UNREACHED, Graph
 from partgraph.operators import superstep
 from partgraph.operators.algorithms import ConnectedComponents, ShortestPaths
 from partgraph.plans.iterate import iterate
+from partgraph.plans.lineage import cut
+from partgraph.plans.placement import Hashed
 from partgraph.sources.edge_list import read_edges, write_vertices
+from partgraph.sources.examples import odd_even
 
 TEN = ([(i, i) for i in range(1, 11)], [(1, 2, 1), (2, 3, 1), (3, 1, 1), (3, 4, 1), (5, 6, 1), (7, 6, 1)])
 TEN_RESULT = {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9, 10: 10}
@@ -33,7 +36,7 @@ def test_components_of_the_example(ten, mode):
     assert values(ConnectedComponents(10, mode).run(ten)) == TEN_RESULT
 
 
-@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("parts", [1, 12])
 def test_odd_even(spark, parts):
     n, rng = 40, random.Random(0)
     edges = [(i - 2, i) for i in range(3, n + 1)]
@@ -121,9 +124,9 @@ def test_building(spark, ten):
 def test_integrity(spark):
     missing = Graph.from_rows(spark, [(1, 1)], [(1, 2)], edge_value=None)
     for mode in ("kernel", "native"):
-        with pytest.raises(Exception, match="Target vertex '2' does not exist!."):
+        with pytest.raises(Exception, match="no vertex: 2"):
             ConnectedComponents(3, mode).run(missing)
-    with pytest.raises(ValueError, match="does not exist"):
+    with pytest.raises(ValueError, match="no vertex"):
         ConnectedComponents(3, "star").run(missing)
     directed = Graph.from_rows(spark, [(1, 0.0)], [(2, 1, 1.0)], "double", "double")
     assert values(ShortestPaths(1, 3, "native").run(directed)) == {1: 0.0}
@@ -145,6 +148,37 @@ def test_loops_parallel_edges_and_no_edges(spark):
         assert values(ConnectedComponents(9, mode).run(empty)) == {}
 
 
+def test_range_placement_needs_few_supersteps_on_a_chain(spark):
+    n = 100
+    g = Graph.from_rows(spark, [(i, i) for i in range(n)], [(i, i + 1) for i in range(n - 1)], edge_value=None)
+    r = ConnectedComponents(5000, "kernel", 4, "range").result(g)
+    assert set(values(r.vertices).values()) == {0} and r.supersteps <= 6
+    # Shortest paths see the edges of active vertices only, so they go one partition, then a step at a time.
+    paths = Graph.from_rows(spark, [(i, 0.0) for i in range(8)], [(i, i + 1, 1.0) for i in range(7)], "double", "double")
+    assert values(ShortestPaths(0, 50, "kernel", 2, "range").run(paths)) == {i: float(i) for i in range(8)}
+    native = ConnectedComponents(9, "native", 4, "range").run(Graph.from_rows(spark, *TEN))
+    assert values(native) == TEN_RESULT
+    with pytest.raises(ValueError, match="integer ids"):
+        s = Graph.from_frames(spark.createDataFrame([("a", 1)], "k string, v long"), spark.createDataFrame([("a", "a")], "x string, y string"))
+        ConnectedComponents(3, "kernel", 2, "range").run(s)
+
+
+@pytest.mark.parametrize("placement", ["hash", "range"])
+def test_hubs_are_split(spark, placement):
+    leaves = list(range(1, 60))
+    edges = [(0, i) for i in leaves] + [(i, 0) for i in leaves] + [(i, i + 100) for i in leaves[:5]] + [(i + 100, i) for i in leaves[:5]]
+    ids = [0, *leaves, *(i + 100 for i in leaves[:5])]
+    g = Graph.from_rows(spark, [(i, i + 7) for i in ids], edges, edge_value=None)
+    for program in (NativeProgram(lambda v, _: v), ComponentsKernel()):
+        r = iterate(g, program, MIN, 20, 4, placement=placement, hub_degree=20)
+        assert values(r.vertices) == {i: 7 for i in ids} and r.converged
+
+
+def test_odd_even_at_full_size(spark):
+    want = {i: 1 if i % 2 else 2 for i in range(1, 5001)}
+    assert values(ConnectedComponents(5000, "kernel", 4, "range").run(odd_even(spark))) == want
+
+
 def test_a_superstep_shuffles_only_messages(spark, ten):
     with_off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before = {k: spark.conf.get(k) for k in with_off}
@@ -152,13 +186,16 @@ def test_a_superstep_shuffles_only_messages(spark, ten):
         spark.conf.set(k, v)
     try:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        edges = ten.undirected().edges.repartition(parts, "src").persist()
-        state = ten.vertices.repartition(parts, "id").persist()
+        edges = Hashed(parts).edges(ten.undirected().edges).persist()
+        state = cut(Hashed(parts).vertices(ten.vertices))
         edges.count(), state.count()
         msgs = superstep.messages(superstep.expand(state, edges), NativeProgram(lambda v, _: v), 1)
         plan = superstep.combine(msgs, state, MIN)._jdf.queryExecution().executedPlan().toString()
         body = "\n".join(x for x in plan.split("\n") if "REPARTITION_BY_NUM" not in x)
         assert body.count("Exchange hashpartitioning") == 1
+        # The messages' aggregate is sorted for its join; neither edges nor state are sorted again.
+        above = body.split("InMemoryTableScan")[0]
+        assert above.count("Sort [") == 1
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -166,7 +203,7 @@ def test_a_superstep_shuffles_only_messages(spark, ten):
 
 def test_settings_are_put_back(spark):
     before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
-    with pytest.raises(Exception, match="does not exist"):
+    with pytest.raises(Exception, match="no vertex"):
         ConnectedComponents(3, "native", 7).run(Graph.from_rows(spark, [(1, 1)], [(1, 2)], edge_value=None))
     assert before == (spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -231,6 +268,10 @@ def test_edge_lists(spark, tmp_path):
     assert read_edges(spark, str(tmp_path / "two.txt")).collect() == [(1, 2), (2, 3)]
     rows = read_edges(spark, str(tmp_path / "three.txt"), weighted=True)
     assert rows.collect() == [(1, 2, 4.5), (2, 3, 1.0)]
+    for bad in ("x 3 1.0", "4 5 abc", "6 7", "6"):
+        (tmp_path / "bad.txt").write_text(f"1 2 4.5\n{bad}\n")
+        with pytest.raises(Exception, match="this line is no edge: " + bad):
+            read_edges(spark, str(tmp_path / "bad.txt"), weighted=True).collect()
     g = Graph.from_edges(rows, lambda i: i)
     write_vertices(g.vertices.coalesce(1), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), sep=" ").count() == 3
