@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.plans.lineage import cut, shared_folder
+from partgraph.plans.joins import skew_join
+from partgraph.plans.lineage import cut, discard, shared_folder
 
-__all__ = ["cut", "shared_folder"]
+__all__ = ["cut", "shared_folder", "skew_join"]
 
 #: Texts are worked on in blocks of about this many bytes, so that the 8-byte
 #: temporaries of numpy stay small whatever the size of an Arrow batch.
@@ -28,6 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def kept_while(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``written``, and deleted at the end: what is made of it must be cut or collected before."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}.parquet")
+    yield df.sparkSession.read.parquet(f"{path}/{name}.parquet")
+    discard(path, df.sparkSession)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

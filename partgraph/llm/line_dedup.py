@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import cut, documents, row_key, unused, written
+from partgraph.llm.common import cut, documents, kept_while, row_key, skew_join, unused
 
 #: Shorter repeated runs than this many lines stay.
 MIN_LINES = 2
@@ -41,7 +41,7 @@ def _ranked(classes: DataFrame, *by: str) -> DataFrame:
 
 
 def line_table(docs: DataFrame, passage_words: int | None) -> DataFrame:
-    """(d, pos, i1, i2, solid, passage) of every line of every text that is not null, written once.
+    """(d, pos, i1, i2, solid, passage) of every line of every text that is not null.
 
     d is the row's key; i1 and i2 are 128 bits of the line, its id.
     """
@@ -51,7 +51,7 @@ def line_table(docs: DataFrame, passage_words: int | None) -> DataFrame:
         "d", "pos", F.xxhash64("line").alias("i1"), F.xxhash64(F.lit(1), "line").alias("i2"),
         (F.trim("line") != "").alias("solid"), passage.alias("passage"),
     )
-    return written(rows, "lines")
+    return rows
 
 
 def whole_copies(lines: DataFrame, min_lines: int) -> DataFrame:
@@ -64,7 +64,8 @@ def whole_copies(lines: DataFrame, min_lines: int) -> DataFrame:
     texts = texts.where(F.col("solid") & (F.col("n_lines") >= min_lines)).select("d", "n_lines")
     firsts = texts.groupBy(F.col("d.digest").alias("digest")).agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.where("n > 1").drop("n")
-    return cut(texts.withColumn("digest", F.col("d.digest")).join(firsts, "digest").where("d != first").select("d", "n_lines"))
+    texts = skew_join(texts.withColumn("digest", F.col("d.digest")), firsts, ["digest"])
+    return cut(texts.where("d != first").select("d", "n_lines"))
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
@@ -120,7 +121,7 @@ def longest_copies(tables: list[DataFrame]) -> DataFrame | None:
             rows = rows.unionByName(deeper.drop("at"))
         by = ["length", "cls", "rank"]
         parts = rows.where(F.col("rank").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first"))
-        rows = rows.join(parts.where("n > 1").drop("n"), by, "left")
+        rows = skew_join(rows, parts.where("n > 1").drop("n"), by, "left")
         is_first = _place() == F.col("first")
         kept = lambda length, cls, own: F.struct(length.alias("length"), cls.alias("cls"), own.alias("own"))
         same = kept(F.col("length"), F.col("cls"), F.col("own"))
@@ -140,10 +141,11 @@ def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES, passage_words: int
     n_runs counts the repeated runs that do not lie in one from the line before, and
     longest_run is the longest of them.
     """
-    lines = line_table(docs, passage_words)
-    copies = whole_copies(lines, min_lines)
-    search = lines.join(copies.select("d"), "d", "left_anti").dropDuplicates(["d", "pos"])
-    found = longest_copies(suffix_ranks(search))
+    # The lines are written once, for the copies and the search.
+    with kept_while(line_table(docs, passage_words), "lines") as lines:
+        copies = whole_copies(lines, min_lines)
+        tables = suffix_ranks(lines.join(copies.select("d"), "d", "left_anti").dropDuplicates(["d", "pos"]))
+    found = longest_copies(tables)
     span = F.struct(F.lit(0).alias("start"), F.col("n_lines").alias("end"))
     whole = copies.select("d", F.array(span).alias("runs"), F.lit(1).alias("n_runs"), F.col("n_lines").alias("longest_run"))
     if found is None:

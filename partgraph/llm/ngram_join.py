@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partgraph.llm.common import (
-    NONSPACE, cut, distinct_shingles, documents, mix, row_key, text_blocks, unused, utf8_column, with_text, written,
+    NONSPACE, cut, distinct_shingles, documents, kept_while, mix, row_key, skew_join, text_blocks, unused, utf8_column, with_text,
 )
 from partgraph.operators.star_components import star_components
 
@@ -73,11 +73,11 @@ def _binary(fingerprints: np.ndarray) -> pa.Array:
 # --- the first pass: sizes, fingerprints, counts ------------------------------
 
 _KEY = "struct<doc_id:long,digest:binary>"
-_FIRST = f"k {_KEY}, n long, node binary, slice int, counts binary"
+_FIRST = f"k {_KEY}, n long, node binary, half long, slice int, counts binary"
 
 
 def _describe(docs: DataFrame, join: Join) -> DataFrame:
-    """A row (k, n, node) for each text, and the partition's part of the count sketch in slices."""
+    """A row (k, n, node, half of it) for each text, and the partition's part of the count sketch in slices."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _FIRST.split(", ")]
@@ -88,11 +88,12 @@ def _describe(docs: DataFrame, join: Join) -> DataFrame:
                 sketch += np.bincount((hashes >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
                 n = pa.array(np.diff(bounds).astype(np.int64))
                 nothing = [pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())]
-                columns = [batch.column(0).slice(a, b - a), n, _binary(_fingerprints(bounds, hashes)), *nothing]
+                node = _fingerprints(bounds, hashes)
+                columns = [batch.column(0).slice(a, b - a), n, _binary(node), pa.array(node[:, 0].view(np.int64)), *nothing]
                 yield pa.RecordBatch.from_arrays(columns, names)
         if sketch.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in sketch.reshape(SLICES, -1)]
-            empty = [pa.nulls(SLICES, k) for k in (kind, pa.int64(), pa.binary())]
+            empty = [pa.nulls(SLICES, k) for k in (kind, pa.int64(), pa.binary(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return with_text(docs, row_key().alias("k")).mapInArrow(work, _FIRST)
@@ -121,7 +122,7 @@ def _count(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
-    """(token, node, n): the first shingles of each set in the global order, rare ones first.
+    """(token, node, n): the first shingles of each set in the global order, rare ones first; node is half its fingerprint.
 
     The order is (count of the sketch slot, hash): the same for all sets, which is
     all that the prefix filter needs; counts only make it selective. Copies that one
@@ -145,14 +146,14 @@ def _prefixes(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
                 place = np.arange(len(hashes)) - bounds[row]
                 keep = (place < join.prefix(n)[row]) & new[row]
                 owner = row[keep]
-                columns = [pa.array(hashes[order][keep].view(np.int64)), _binary(nodes[owner]), pa.array(n[owner].astype(np.int32))]
+                columns = [pa.array(hashes[order][keep].view(np.int64)), pa.array(nodes[owner, 0].view(np.int64)), pa.array(n[owner].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n"])
 
-    return with_text(docs).mapInArrow(work, "token long, node binary, n int")
+    return with_text(docs).mapInArrow(work, "token long, node long, n int")
 
 
 def _candidates(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
-    """(a, b): links whose components hold every pair of sets that can link.
+    """(a, b): links, between halves of fingerprints, whose components hold every pair of sets that can link.
 
     Sets that link share SHARED shingles of their prefixes (or all that they need,
     if less), and their sizes are within the threshold. Shingles of few rows are
@@ -164,12 +165,12 @@ def _candidates(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     sets are shared by as many tasks. Prefixes are written once and read for counts
     and rows.
     """
-    prefixes = written(_prefixes(docs, join, shared), "prefixes")
-    tokens = prefixes.groupBy("token").agg(
-        F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("rows")
-    )
-    tokens = tokens.where(F.col("least") != F.col("most")).select("token", (F.col("rows") > FEW).alias("many"))
-    rows = cut(prefixes.join(tokens, "token"))
+    with kept_while(_prefixes(docs, join, shared), "prefixes") as prefixes:
+        tokens = prefixes.groupBy("token").agg(
+            F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("rows")
+        )
+        tokens = tokens.where(F.col("least") != F.col("most")).select("token", (F.col("rows") > FEW).alias("many"))
+        rows = cut(skew_join(prefixes, tokens, ["token"]))
     few = rows.where(~F.col("many")).groupBy("token").agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("sets"))
     size = lambda x: x["n"].cast("long")
     fits = lambda x, y: (x["n"] > 0) & (100 * size(x) >= join.percent * size(y))
@@ -413,7 +414,7 @@ def components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """
     named = _rooted(docs, join)
     least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("k.doc_id").alias("least"))
-    out = named.join(least, "root", "left")
+    out = skew_join(named, least, ["root"], "left")
     return out.select(
         "k.doc_id",
         F.col("n").alias("n_shingles"),
@@ -424,13 +425,14 @@ def components(docs: DataFrame, join: Join = Join()) -> DataFrame:
 def _rooted(docs: DataFrame, join: Join) -> DataFrame:
     """(k, n, root): root is the same for the rows of a component, k a row's key."""
     described = cut(_describe(docs, join))
-    base = described.where(F.col("slice").isNull()).select("k", "n", "node")
+    base = described.where(F.col("slice").isNull()).select("k", "n", "node", "half")
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(described))
     comps = star_components(_candidates(docs, join, shared), cut)
     roots = comps.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()
-    members = comps.select("node", F.col("root").alias("comp")).unionByName(roots)
-    chosen = base.where(F.col("n") > 0).groupBy("node", "n").agg(F.min("k").alias("k"))
-    members = cut(members.join(chosen, "node"))
+    members = comps.select("node", F.col("root").alias("comp")).unionByName(roots).withColumnRenamed("node", "half")
+    # Sets that share half a fingerprint are members both, as nodes of their own from here on.
+    chosen = base.where(F.col("n") > 0).groupBy("half", "node", "n").agg(F.min("k").alias("k"))
+    members = cut(members.join(chosen, "half").drop("half"))
     verified = cut(_verified(docs, members, join, shared))
     whole = verified.where("whole").where(F.col("node") != F.col("root")).select("node", "root")
     pieces = verified.where(~F.col("whole"))
@@ -482,7 +484,7 @@ def keep_one(docs: DataFrame, join: Join = Join(5, 80)) -> DataFrame:
     best = F.min(F.struct(F.col("k.doc_id").isNull().alias("none"), F.col("k")))
     kept = named.groupBy("root").agg(best.alias("best")).select("root", F.col("best.k").alias("best"))
     name = unused(docs, "k")
-    lost = named.join(kept, "root").where(F.col("k") != F.col("best")).select(F.col("k").alias(name)).distinct()
+    lost = skew_join(named, kept, ["root"]).where(F.col("k") != F.col("best")).select(F.col("k").alias(name)).distinct()
     keyed = docs.withColumn(name, row_key())
     out = keyed.join(lost, name, "left_anti")
     # Rows equal in doc_id and text have one key; few inputs have any.

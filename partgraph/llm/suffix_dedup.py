@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import _INVERSE, cut, documents, mix, powers, text_blocks, utf8_column, with_text, written
+from partgraph.llm.common import _INVERSE, cut, documents, kept_while, mix, powers, skew_join, text_blocks, utf8_column, with_text
 
 #: Bytes of a repeated string; bytes of the grams whose hashes choose a window's shard.
 LENGTH, GRAM = 200, 64
@@ -316,14 +316,20 @@ def _suspects(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "t1", "t2", "start", "windows", "again"])
 
     schema = "gram long, t1 long, t2 long, start long, windows long, again boolean"
-    runs = written(docs.select("t1", "t2", "text").mapInArrow(work, schema), "runs")
+    made = docs.select("t1", "t2", "text").mapInArrow(work, schema)
+    with kept_while(made, "runs") as runs:
+        return cut(_repeating(runs))
+
+
+def _repeating(runs: DataFrame) -> DataFrame:
+    """The runs whose gram stands in another run too, or twice in its own."""
     place = F.xxhash64("t1", "t2", "start")
     grams = runs.groupBy("gram").agg(
         F.min(place).alias("least"), F.max(place).alias("most"), F.max("again").alias("more"),
         F.sum(F.col("windows") + LENGTH).alias("bytes"),
     )
     grams = grams.where((F.col("least") != F.col("most")) | F.col("more")).select("gram", (F.col("bytes") > SHARD).alias("hot"))
-    return runs.drop("again").join(grams, "gram")
+    return skew_join(runs.drop("again"), grams, ["gram"])
 
 
 def repeated_spans(texts: DataFrame, suspects: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -400,7 +406,7 @@ def repeated_spans(texts: DataFrame, suspects: DataFrame, chosen: DataFrame) ->
         heated = with_runs.where(F.exists("runs", lambda r: r["hot"])).mapInArrow(windows_of, "h1 long, h2 long, t long, a long")
         place = F.xxhash64("t", "a")
         again = heated.groupBy("h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y")
-        same = heated.join(again, ["h1", "h2"]).select("t", "a", (F.col("a") + LENGTH).alias("b"))
+        same = skew_join(heated, again, ["h1", "h2"]).select("t", "a", (F.col("a") + LENGTH).alias("b"))
         spans = spans.unionByName(same)
     return spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -435,7 +441,7 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     )
     copies = base.groupBy("k.t1", "k.t2").agg(F.count(F.lit(1)).alias("copies"), F.min("k").alias("k"))
     copies = cut(copies.withColumn("t", F.monotonically_increasing_id()))
-    suspects = cut(_suspects(full))
+    suspects = _suspects(full)
     texts = full.select("k", "text")
     # Not cut: the texts are dealt by k once for the search and for the result.
     spans = repeated_spans(texts, suspects, copies.select("t1", "t2", "t", "k"))
