@@ -138,8 +138,8 @@ def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES, passage_words: int
     A run of ``min_lines`` or more lines, not all blank, goes where it stands at an
     earlier place too, by (doc_id, line); a line of ``passage_words`` words likewise,
     alone. runs are the maximal stretches of lines to delete, [start, end) in order;
-    n_runs counts the repeated runs that do not lie in one from the line before, and
-    longest_run is the longest of them.
+    n_runs counts the repeated runs that do not lie in one that starts before them,
+    and longest_run is the longest of them.
     """
     # The lines are written once, for the copies and the search.
     with kept_while(line_table(docs, passage_words), "lines") as lines:
@@ -156,12 +156,10 @@ def removed_runs(docs: DataFrame, min_lines: int = MIN_LINES, passage_words: int
     by_place = W.partitionBy("d").orderBy("pos")
     end = F.col("pos") + F.col("counted")
     earlier = F.max(end).over(by_place.rowsBetween(W.unboundedPreceding, -1))
-    before = F.lag(F.struct("pos", "counted")).over(by_place)
-    inner = (before["pos"] == F.col("pos") - 1) & (before["counted"] == F.col("counted") + 1)
     found = found.select(
         "d", "pos", "counted", end.alias("end"),
         F.coalesce(F.col("pos") > earlier, F.lit(True)).cast("int").alias("fresh"),
-        (~F.coalesce(inner, F.lit(False))).cast("int").alias("run"),
+        F.coalesce(end > earlier, F.lit(True)).cast("int").alias("run"),
     )
     found = found.withColumn("stretch", F.sum("fresh").over(by_place))
     stretches = found.groupBy("d", "stretch").agg(
@@ -260,7 +258,8 @@ q as (select doc_id, pos, case when length >= {MIN_LINES} and ns < pos + length
       from e join s using (doc_id, pos)),
 g as (select s.doc_id, s.pos, s.line, q.counted,
              coalesce(max(s.pos + q.counted) over (partition by s.doc_id order by s.pos) > s.pos, false) as gone,
-             coalesce(lag(q.counted) over (partition by s.doc_id order by s.pos) = q.counted + 1, false) as inner_run
+             coalesce(max(s.pos + q.counted) over (partition by s.doc_id order by s.pos rows between unbounded preceding and 1 preceding)
+                      >= s.pos + q.counted, false) as inner_run
       from s left join q on q.doc_id = s.doc_id and q.pos = s.pos),
 k as (select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_removed,
              count(*) filter (counted is not null and not inner_run)::bigint as n_runs,

@@ -197,3 +197,68 @@ def test_rolling_hashes():
     h = suffix_dedup.Rolling(t).every(3)
     assert h[0] == h[3] == h[6] != h[1]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text of several blocks gives what one block of it would."""
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(60_000)) + "\n" + "y" * 5000
+    data, offsets = block([text * 6])
+    assert len(data) > 2 * common.BLOCK_BYTES
+    here = quality.text_stats(data, offsets), *common.distinct_shingles(data, offsets, common.NONSPACE, 4)
+    with monkeypatch.context() as m:
+        for module in (common, quality):
+            m.setattr(module, "BLOCK_BYTES", 1 << 30)
+        whole = quality.text_stats(data, offsets), *common.distinct_shingles(data, offsets, common.NONSPACE, 4)
+    assert np.allclose(here[0], whole[0]) and all(np.array_equal(a, b) for a, b in zip(here[1:], whole[1:]))
+
+
+def test_windows_in_pieces(monkeypatch):
+    data, offsets = block(["".join(random.Random(2).choice("ab ") for _ in range(3000))])
+    gram, _, start, windows, _ = suffix_dedup.window_runs(data, offsets)
+    of = {p: g for g, s, n in zip(gram, start, windows) for p in range(s, s + n)}
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    got = {p: g for gram, _, start, windows, _ in suffix_dedup.text_windows(data, offsets) for g, s, n in zip(gram, start, windows) for p in range(s, s + n)}
+    assert got == of and len(got) == 3000 - 199
+
+
+def test_suffix_array_of_large_alphabets_and_runs():
+    rng = random.Random(1)
+    t = np.array([rng.randint(1, 4000) for _ in range(3000)] * 2 + [0])
+    assert suffix_dedup.suffix_array(t, 4001).tolist() == sorted(range(6001), key=lambda i: t[i:].tolist())
+    run = np.array([5] * 3000 + [0], np.uint16)
+    assert suffix_dedup.suffix_array(run, 258).tolist() == list(range(3000, -1, -1))
+
+
+def scan_words(scanner, text):
+    data, offsets = block([text])
+    hashes, _, _, first = common.hashed_words(data, offsets, common.ALNUM)
+    tokens = scanner.tokens(hashes)
+    return scanner.scan([(x, tokens[x:y].tolist()) for _, x, y in scanner.runs(tokens, first)])
+
+
+def test_license_chains_and_recall():
+    t = [f"w{i}" for i in range(50)]
+    s = licenses.Scanner({"one": "one"}, {"t": " ".join(t), "two": "aa bb"})
+    # A chance match of a later part before the whole, a lost word, a one-word phrase, a two-word template.
+    assert scan_words(s, "w30 w31 w32 x " + " ".join(t))[1] == [("t", 4, 54, 1.0)]
+    assert scan_words(s, " ".join(t[:20] + ["q"] + t[22:]))[1] == [("t", 0, 49, 0.96)]
+    assert scan_words(s, "zz aa bb one") == ({0: [3]}, [("two", 1, 3, 1.0)])
+    s, rng, found = licenses.Scanner(licenses.BASE, licenses.TEMPLATES), random.Random(4), 0
+    for label, template in licenses.TEMPLATES.items():
+        words = licenses.words_of(template)
+        if len(words) >= 10:
+            words[rng.randrange(len(words))] = "changed"
+        found += any(x[0] == label for x in scan_words(s, "before it " + " ".join(words) + " after")[1])
+    assert found >= 0.9 * len(licenses.TEMPLATES)
+
+
+def test_secret_recall():
+    with open(secrets.VOCABULARY, "rb") as f:
+        tokens = secrets.Tokens(f.read())
+    rng, found = random.Random(5), 0
+    for n in range(300):
+        key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(20 + n % 20))
+        text = f"the key {key} is here"
+        found += secrets.random_spans(text, secrets.base_spans(text), tokens) == [(8, 3, 8 + len(key))]
+    assert found >= 0.9 * 300

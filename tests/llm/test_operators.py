@@ -1,6 +1,7 @@
 """Each operator in Spark: odd inputs with defined results, and brute force over the smallest tables."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -88,6 +89,11 @@ def test_op4(spark):
     one = {r["conv_id"]: r for r in chat.repair(df).collect()}
     assert chat.to_messages(one[1]["text"]) == [("user", "a\nb"), ("assistant", "")] and one[1]["cost"] == 1
     assert one.keys() == {1, 2, None} and one[2]["turns_in"] == 2
+    times = spark.createDataFrame([(1, 10**9 + 9000 * i, r, "t") for i, r in enumerate(["user", "assistant", "user"])], df.schema)
+    assert [(r["part"], r["turns_in"]) for r in chat.repair(times).collect()] == [(0, 3)]
+    nulls = spark.createDataFrame([(None, None, "user", "t")] * 7 + [(4, 1, "user", "t")], df.schema)
+    many = sorted((r["conv_id"] or 0, r["part"], r["turns_in"]) for r in chat.repair(nulls, part=3).collect())
+    assert many == [(0, 0, 3), (0, 1, 3), (0, 2, 1), (4, 0, 1)]
     parts = chat.repair(df, part=1).groupBy("conv_id").agg(F.sum("cost").alias("cost")).collect()
     assert {r["conv_id"]: r["cost"] for r in parts} == {k: r["cost"] for k, r in one.items()}
     assert chat.repair(df.limit(0)).count() == 0
@@ -97,14 +103,63 @@ def test_op5(odd, none, spark):
     d = line_dedup.dedup_lines(odd, prefix="p_").collect()
     assert len(d) == 10 and {r["p_n_removed"] for r in d} == {0}  # one line each, or blank
     lines = spark.createDataFrame([(1, "a\nb\nc"), (2, "x\na\nb\nc"), (3, "b\nc\nb\nc\nb"), (4, "a\nb")], "doc_id long, text string")
-    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(lines).collect()}
-    assert left == {1: "a\nb\nc", 2: "x", 3: "b", 4: ""} or left == {1: "a\nb\nc", 2: "x", 3: "", 4: ""}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(lines).collect()}
+    left = {i: r["text"] for i, r in got.items()}
+    assert left == {1: "a\nb\nc", 2: "x", 3: "", 4: ""}
+    assert [(got[3][c]) for c in ("n_removed", "n_runs", "longest_run")] == [5, 2, 3]  # b c, and b c b over itself
     deep = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(lines, 3).collect()}
-    assert deep[2] == "x" and deep[4] == "a\nb"
+    assert deep == {1: "a\nb\nc", 2: "x", 3: "b\nc", 4: "a\nb"}
     assert line_dedup.without_copied_lines(lines).count() == len([t for t in left.values() if t])
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def brute_lines(texts, least, words):
+    """{doc_id: (left, n_removed, n_runs, longest)} by comparing every two places."""
+    docs = sorted((i, t.split("\n")) for i, t in texts)
+    out = {}
+    for n, (i, lines) in enumerate(docs):
+        length = []
+        for p in range(len(lines)):
+            best = 0
+            for j, other in docs[: n + 1]:
+                for q in range(p if j == i else len(other)):
+                    k = 0
+                    while p + k < len(lines) and q + k < len(other) and lines[p + k] == other[q + k]:
+                        k += 1
+                    best = max(best, k)
+            long = best >= least and any(x.strip(" ") for x in lines[p : p + best])
+            length.append(best if long else 1 if best and len(lines[p].split()) >= words else 0)
+        gone = {x for p, k in enumerate(length) for x in range(p, p + k)}
+        runs = [p for p, k in enumerate(length) if k and p + k > max([x + n for x, n in enumerate(length[:p]) if n], default=0)]
+        out[i] = ("\n".join(x for p, x in enumerate(lines) if p not in gone), len(gone), len(runs), max(length))
+    return out
+
+
+def test_op5_brute_force(spark):
+    rng = random.Random(8)
+    body = [[rng.choice(["", "a", "b", "c d e f", "g"]) for _ in range(rng.randint(1, 12))] for _ in range(14)]
+    body += [body[3] + ["z"], body[4], body[5][1:], ["y"] + body[5], body[4]]
+    texts = [(i, "\n".join(x)) for i, x in enumerate(body)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for least in (2, 4):
+        got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"], r["longest_run"]) for r in line_dedup.dedup_lines(docs, least, passage_words=4).collect()}
+        assert got == brute_lines(texts, least, 4)
+
+
+def test_reserved_names(spark):
+    """Columns named like those that the operators use on the way stay."""
+    names = "runs info mask key k _k _d src slot below ahead rank copy stats d pos join_key".split()
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names)
+    docs = spark.createDataFrame([(i, f"one two three {i}\nfour five six", "s", *range(len(names))) for i in range(3)], schema)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "three 2")], "item_id long, text string")
+    made = [line_dedup.without_copied_lines(docs), mix.emit(mix.mix(docs)), ngram_join.keep_one(docs), decontaminate.decontaminate(docs, items), quality.keep_good(docs, labels)]
+    for frame in made:
+        assert set(docs.columns) <= set(frame.columns)
+        assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in frame.collect())
+    assert {r["doc_id"] for r in made[3].collect()} == {0, 1}
+
+
 def test_op5_passages(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
     short = " ".join(f"s{i}" for i in range(49))
@@ -113,7 +168,7 @@ def test_op5_passages(spark):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, passage_words=50).collect()}
     left = {1: texts[0][1], 2: f"z\nq\n{short}\nr", 3: b, 4: "", 5: f"w\n{short}", 6: "t"}
     assert {i: r["text"] for i, r in got.items()} == left
-    assert [(r["n_removed"], r["n_runs"], r["longest_run"]) for _, r in sorted(got.items())] == [(0, 0, 0), (1, 1, 1), (0, 0, 0), (1, 1, 1), (2, 2, 1), (4, 1, 4)]
+    assert [(r["n_removed"], r["n_runs"], r["longest_run"]) for _, r in sorted(got.items())] == [(0, 0, 0), (1, 1, 1), (0, 0, 0), (1, 1, 1), (2, 2, 1), (4, 2, 3)]
     import corpus_pipeline as p
 
     assert {r["doc_id"]: r["text"] for r in p.line_dedup(spark, docs, SF).collect()} == {i: t for i, t in left.items() if t}
@@ -132,6 +187,29 @@ def test_op6(spark, docs, odd, none):
     assert quality.keep_good(none, labels).count() == 0
 
 
+def test_op6_fit_is_ridge(spark):
+    """The distributed fit against one solve of the same normal equations on the driver."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, len(quality.STATS))).astype(np.float32)
+    y = (x[:, 0] + x[:, 3] > 0).astype(int)
+    of = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, stats array<float>").repartition(5)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.fit(of, labels)
+    part = np.array([zlib.crc32(str(i).encode()) % 4 for i in range(300)])
+    learns = part != quality.HELD_OUT
+    a = x[learns].astype(float)
+    assert np.allclose(model.mean, a.mean(0)) and np.allclose(model.scale, a.std(0))
+    own = learns & (part != quality.CALIBRATES)
+    z = model.features(x[own].astype(float))
+    ridge = quality.RIDGE * learns.sum() / quality.FEATURES * np.eye(z.shape[1])
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + ridge, z.T @ y[own]), atol=1e-6)
+    raw = model.raw(x[part == quality.CALIBRATES].astype(float))
+    bins = np.clip((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS, 0, quality.BINS - 1).astype(int)
+    known = np.unique(bins)
+    sums = [y[part == quality.CALIBRATES][bins == b].sum() for b in known]
+    assert np.allclose(model.curve[1], quality.isotonic(np.array(sums, float), np.array([(bins == b).sum() for b in known], float)))
+
+
 def test_op6_held_out(spark):
     path = f"{DATA}/sf0.1"
     got = {r["doc_id"]: r for r in QUERIES["op6_quality"](spark, path).collect()}
@@ -166,6 +244,9 @@ def test_op8(spark, odd, none, monkeypatch, most):
     items = spark.createDataFrame([(1, "xword1 xword2 xword3 xword4 xword5 xword6"), (2, "a b"), (None, None), (3, "q w e r t y u")], "item_id long, text string")
     found = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_items(odd, items).collect())
     assert found == [(-3, 1), (4, 1), (5, 1)]
+    short = spark.createDataFrame([(7, "OF no"), (8, "é"), (9, "no of")], "item_id long, text string")
+    both = decontaminate.find_items(odd, items.unionByName(short)).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in both) == [(-3, 1), (0, 7), (4, 1), (5, 1), (7, 8)]
     assert decontaminate.decontaminate(odd, items).count() == 6
     assert decontaminate.find_items(none, items).count() == 0 and decontaminate.decontaminate(odd, items.limit(0)).count() == 10
 
@@ -185,12 +266,12 @@ def brute_bytes(texts, length=200):
         yield len(b), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()), hashlib.sha256(left).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_op9(spark, docs, odd, none, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("shard", [suffix_dedup.SHARD, 700])
+def test_op9(spark, docs, odd, none, monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # 700: many shards, and most grams are hot
     got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op9_suffix_dedup"](spark, SF).collect()}
     assert got == dict(zip(docs, brute_bytes(docs.values())))
-    if hot == 2:
+    if shard == 700:
         out = sorted(tuple(r) for r in suffix_dedup.dedup_bytes(odd).collect() if r["doc_id"] is not None)
         texts = [(1, ""), (2, ""), (3, " \n \n"), (4, LONG), (5, LONG), (5, LONG), (7, "é"), (-3, LONG + " y")]
         assert out == sorted((i, *w) for (i, _), w in zip(texts, brute_bytes([t for _, t in texts])))
@@ -208,6 +289,49 @@ def test_op10(odd, none, monkeypatch):
     assert again == out
 
 
+def test_stages_against_brute_force(spark):
+    """Stages 2 to 5 on a small table, each on what the brute-force version of the one before keeps."""
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(rng.randint(60, 90))] for _ in range(12)]
+    item = " ".join(f"item{i}" for i in range(20))
+    passage = " ".join(f"p{i}" for i in range(55))
+    texts = [" ".join(b) for b in base] + [" ".join(["new", *base[0][1:]]), " ".join([*base[1], "end"]), " ".join(base[2])]
+    texts += [f"{texts[3]} {item} rest", f"a\n{passage}\nb", f"c\n{passage}\nd", "x y\nz", "q\nx y\nz"]
+    rows_ = [(i, t, "st"[i % 2]) for i, t in enumerate(texts)]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string, source string")
+    lines = {i: t for i, (t, *_) in brute_lines([(i, t) for i, t, _ in rows_], 2, 50).items()}
+    lines = [(i, lines[i], s) for i, _, s in rows_ if lines[i] or not texts[i]]
+    assert sorted(tuple(r) for r in p.line_dedup(spark, frame(rows_), SF).collect()) == lines
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for _, t, _ in lines for w in [t.split()]]
+    root = list(range(len(lines)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    seen, near = set(), []
+    for r, row in zip(root, lines):
+        if r not in seen:
+            near.append(row)
+        seen.add(r)
+    assert len(near) < len(lines)
+    assert sorted(tuple(r) for r in p.near_duplicates(spark, frame(lines), SF).collect()) == near
+    clean = [r for r in near if item not in r[1]]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert len(clean) == len(near) - 1
+    assert sorted(tuple(r) for r in decontaminate.decontaminate(frame(near), items).collect()) == clean
+    out = p.mixing(spark, frame(clean), SF).collect()
+    size = {i: len(t.split()) for i, t, _ in clean}
+    both = {s: sum(size[i] for i, _, x in clean if x == s) for s in "st"}
+    goal = {"s": min(3 * both["s"], sum(both.values()) * 5 / 7)}
+    goal["t"] = min(3 * both["t"], sum(both.values()) - goal["s"])
+    for s in "st":
+        assert abs(sum(size[r["doc_id"]] for r in out if r["source"] == s) - goal[s]) <= 2 * max(size.values())
+    assert all(len([r for r in out if r["doc_id"] == i]) <= 3 for i in size)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
