@@ -15,8 +15,8 @@ from partgraph.llm.common import _INVERSE, cut, documents, kept_while, mix, powe
 
 #: Bytes of a repeated string; bytes of the grams whose hashes choose a window's shard.
 LENGTH, GRAM = 200, 64
-#: Bytes of segments that a shard should hold; a gram of more is split by the content of its windows.
-SHARD = 2 << 20
+#: Bytes of segments that a shard should hold, and beyond which a single gram's are split by their windows' content.
+SHARD, HOT = 2 << 20, 8 << 20
 #: Bytes of one text that are searched at once; the next piece begins with the windows that this one lacks.
 PIECE = 1 << 20
 #: Symbols up to which a bucket's entries are placed together; buckets of larger alphabets are too small for that.
@@ -328,7 +328,7 @@ def _repeating(runs: DataFrame) -> DataFrame:
         F.min(place).alias("least"), F.max(place).alias("most"), F.max("again").alias("more"),
         F.sum(F.col("windows") + LENGTH).alias("bytes"),
     )
-    grams = grams.where((F.col("least") != F.col("most")) | F.col("more")).select("gram", (F.col("bytes") > SHARD).alias("hot"))
+    grams = grams.where((F.col("least") != F.col("most")) | F.col("more")).select("gram", (F.col("bytes") > HOT).alias("hot"))
     return skew_join(runs.drop("again"), grams, ["gram"])
 
 
@@ -338,9 +338,9 @@ def repeated_spans(texts: DataFrame, suspects: DataFrame, chosen: DataFrame) ->
     ``chosen`` (t1, t2, t, k) names the row k of ``texts`` (k, text) that stands for
     each text, and its number t. Window runs are cut out of those rows as segments and dealt to shards by their gram, so equal windows meet; a
     shard keeps distinct segments once and sorts their suffixes. Runs of a gram
-    whose segments have more than SHARD bytes are split by the hash of each window first, with
+    whose segments have more than HOT bytes are split by the hash of each window first, with
     counts aggregated before the shuffle, so that a shard holds grams of at most
-    SHARD bytes each, SHARD in all on the average.
+    HOT bytes each, SHARD in all on the average.
     """
     per_text = suspects.groupBy("t1", "t2").agg(F.collect_set(F.struct("gram", "start", "windows", "hot")).alias("runs"))
     total = suspects.agg(F.sum(F.when(~F.col("hot"), F.col("windows") + LENGTH))).first()[0] or 0

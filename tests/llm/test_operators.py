@@ -269,6 +269,7 @@ def brute_bytes(texts, length=200):
 @pytest.mark.parametrize("shard", [suffix_dedup.SHARD, 700])
 def test_op9(spark, docs, odd, none, monkeypatch, shard):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # 700: many shards, and most grams are hot
+    monkeypatch.setattr(suffix_dedup, "HOT", 4 * shard if shard > 700 else shard)
     got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op9_suffix_dedup"](spark, SF).collect()}
     assert got == dict(zip(docs, brute_bytes(docs.values())))
     if shard == 700:
