@@ -22,7 +22,7 @@ from partgraph.operators.star_components import star_components
 SKETCH, SLICES = 1 << 18, 16
 #: Sets of up to so many bytes meet in one prefix tree.
 BLOCK = 8 << 20
-#: Shingles that a pair must share in its prefixes; a shingle of more rows than
+#: Shingles that a pair must share in its prefixes; a shingle of more different sets than
 #: FEW links its sets by a star rather than pair by pair.
 SHARED, FEW = 3, 32
 #: A star is gathered in so many parts first, so that the sets of one shingle are not one task.
@@ -156,9 +156,9 @@ def _candidates(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     """(a, b): links, between halves of fingerprints, whose components hold every pair of sets that can link.
 
     Sets that link share SHARED shingles of their prefixes (or all that they need,
-    if less), and their sizes are within the threshold. Shingles of few rows are
+    if less), and their sizes are within the threshold. Shingles of few sets are
     paired out and pairs counted: chance pairs share one or two, so they don't tie
-    the corpus together. If one of the shared shingles has many rows, the two meet
+    the corpus together. If one of the shared shingles has many sets, the two meet
     in its star instead: all sets of that shingle and of one or two neighbouring
     size classes are linked to the smallest, with one row a set. A star is made in
     two steps, within SALTS parts and between their centres, so that one shingle's
@@ -171,7 +171,12 @@ def _candidates(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
         )
         tokens = tokens.where(F.col("least") != F.col("most")).select("token", (F.col("rows") > FEW).alias("many"))
         rows = cut(skew_join(prefixes, tokens, ["token"]))
-    few = rows.where(~F.col("many")).groupBy("token").agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("sets"))
+    # Every task gives the sets of its copies again: what counts as many is different sets, or it would grow with the tasks.
+    often = rows.where("many").select("token", "node", "n").distinct()
+    sets = often.groupBy("token").agg((F.count(F.lit(1)) > FEW).alias("many"))
+    often = cut(skew_join(often, sets, ["token"]))
+    few = rows.where(~F.col("many")).unionByName(often.where(~F.col("many")))
+    few = few.groupBy("token").agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("sets"))
     size = lambda x: x["n"].cast("long")
     fits = lambda x, y: (x["n"] > 0) & (100 * size(x) >= join.percent * size(y))
     later = lambda x, i: F.filter(F.slice("sets", i + 2, F.size("sets")), lambda y: fits(x, y))
@@ -182,7 +187,7 @@ def _candidates(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     met = met.where(F.col("shared") >= F.least(F.lit(SHARED), needed)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     c = _size_class(F.col("n"), join.percent)
     salt = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(SALTS)).alias("salt")
-    many = rows.where("many").select("token", "node", salt, F.explode(F.array(c, c + 1)).alias("c"))
+    many = often.where("many").select("token", "node", salt, F.explode(F.array(c, c + 1)).alias("c"))
     centres = many.groupBy("token", "c", "salt").agg(F.min("node").alias("centre"))
     hubs = centres.groupBy("token", "c").agg(F.min("centre").alias("hub"))
     near = many.join(centres, ["token", "c", "salt"]).select(F.col("node").alias("a"), F.col("centre").alias("b"))
