@@ -342,3 +342,16 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in out.select("doc_id").collect()}
     assert kept and kept < {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert not {r["doc_id"] for r in QUERIES["op8_decontamination"](spark, SF).collect()} & kept
+
+
+def test_components_are_the_same_however_many_tasks_see_the_copies(spark):
+    from partgraph.llm.ngram_join import components
+
+    base = " ".join(f"w{i}" for i in range(60))
+    copies = [(i, f"{base} x{i % 3} y{i % 3}") for i in range(150)]  # three sets, in more tasks than FEW
+    near = [(1000 + i, " ".join(f"u{j}" for j in range(80)) + f" z{i}") for i in range(40)]  # more sets than FEW
+    alone = [(2000 + i, " ".join(f"v{i}_{j}" for j in range(40))) for i in range(20)]
+    df = spark.createDataFrame(copies + near + alone, "doc_id long, text string")
+    want = {i: 0 for i, _ in copies} | {i: 1000 for i, _ in near} | {i: i for i, _ in alone}
+    for partitions in (1, 50):
+        assert {r.doc_id: r.component_id for r in components(df.repartition(partitions)).collect()} == want
