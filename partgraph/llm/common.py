@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partgraph.plans.joins import skew_join
-from partgraph.plans.lineage import cut, discard, shared_folder
+from partgraph.plans.lineage import cut, discard, release, shared_folder
 
-__all__ = ["cut", "shared_folder", "skew_join"]
+__all__ = ["cut", "release", "shared_folder", "skew_join"]
 
 #: Texts are worked on in blocks of about this many bytes, so that the 8-byte
 #: temporaries of numpy stay small whatever the size of an Arrow batch.

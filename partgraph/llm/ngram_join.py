@@ -10,11 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partgraph.llm.common import (
-    NONSPACE, cut, distinct_shingles, documents, kept_while, mix, row_key, skew_join, text_blocks, unused, utf8_column, with_text,
+    NONSPACE, cut, distinct_shingles, documents, kept_while, mix, release, row_key, skew_join, text_blocks, unused, utf8_column, with_text,
 )
 from partgraph.operators.star_components import star_components
 
@@ -22,9 +22,9 @@ from partgraph.operators.star_components import star_components
 SKETCH, SLICES = 1 << 18, 16
 #: Sets of up to so many bytes meet in one prefix tree.
 BLOCK = 8 << 20
-#: Shingles that a pair must share in its prefixes; a shingle of more different sets than
-#: FEW links its sets by a star rather than pair by pair.
-SHARED, FEW = 3, 32
+#: Shingles that a pair must share in its prefixes, and one more for each LONGER of a set;
+#: a shingle of more different sets than FEW links its sets by a star rather than pair by pair.
+SHARED, LONGER, FEW = 4, 128, 32
 #: A star is gathered in so many parts first, so that the sets of one shingle are not one task.
 SALTS = 64
 #: Sets that a task remembers, so as to give the shingles of a copy once.
@@ -39,14 +39,27 @@ class Join:
     percent: int = 85
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
-        """How many first shingles of a set share SHARED with those of a linked one (or all that is needed, if less)."""
-        return np.minimum(n, n - (self.percent * n + 99) // 100 + SHARED)
+        """How many first shingles of a set share ``_shared`` with those of a linked one (or all that is needed, if less)."""
+        return np.minimum(n, n - (self.percent * n + 99) // 100 + _shared(n))
 
     def needed(self, a, b):
         """The least overlap of linked sets of these sizes."""
         whole = 100 + self.percent
         return (self.percent * (a + b) + whole - 1) // whole
 
+    def split(self, a: Column, b: Column) -> tuple[Column, Column]:
+        """(few, many): linked sets of sizes a <= b share so many shingles of few sets in their prefixes, or so many of many sets."""
+        whole = 100 + self.percent
+        needed = F.floor((self.percent * (a + b) + whole - 1) / whole)
+        shared = F.least(SHARED + F.floor(a / LONGER), needed)
+        many = F.greatest(F.floor(shared / 2), F.lit(1))
+        return shared + 1 - many, many
+
+
+def _shared(n):
+    """What a set of n shingles shares in its prefix with a linked one that is no smaller: long sets share a few by chance."""
+    return SHARED + n // LONGER
+
 
 def _sets(column: pa.Array, width: int):
     for a, b, data, offsets in text_blocks(column):
@@ -155,15 +168,17 @@ def _prefixes(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
 def _candidates(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     """(a, b): links, between halves of fingerprints, whose components hold every pair of sets that can link.
 
-    Sets that link share SHARED shingles of their prefixes (or all that they need,
-    if less), and their sizes are within the threshold. Shingles of few sets are
-    paired out and pairs counted: chance pairs share one or two, so they don't tie
-    the corpus together. If one of the shared shingles has many sets, the two meet
-    in its star instead: all sets of that shingle and of one or two neighbouring
-    size classes are linked to the smallest, with one row a set. A star is made in
-    two steps, within SALTS parts and between their centres, so that one shingle's
-    sets are shared by as many tasks. Prefixes are written once and read for counts
-    and rows.
+    Sets that link share SHARED shingles of their prefixes and more if they are
+    long (or all that they need, if less), and their sizes are within the threshold.
+    About half of these are shingles of few sets, or the other half are of many
+    (``Join.split``). Shingles of few sets are paired out and pairs counted: chance
+    pairs share fewer, also of long sets, so they don't tie the corpus together.
+    Sets with enough shingles of many sets meet in stars: all such sets of a shingle
+    and of one or two neighbouring size classes are linked to the smallest, with one
+    row a set; sets with fewer can't share enough and are left out. A star is made
+    in two steps, within SALTS parts and between their centres, so that one
+    shingle's sets are shared by as many tasks. Prefixes are written once and read
+    for counts and rows.
     """
     with kept_while(_prefixes(docs, join, shared), "prefixes") as prefixes:
         tokens = prefixes.groupBy("token").agg(
@@ -171,10 +186,12 @@ def _candidates(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
         )
         tokens = tokens.where(F.col("least") != F.col("most")).select("token", (F.col("rows") > FEW).alias("many"))
         rows = cut(skew_join(prefixes, tokens, ["token"]))
+    release(docs.sparkSession)
     # Every task gives the sets of its copies again: what counts as many is different sets, or it would grow with the tasks.
     often = rows.where("many").select("token", "node", "n").distinct()
     sets = often.groupBy("token").agg((F.count(F.lit(1)) > FEW).alias("many"))
     often = cut(skew_join(often, sets, ["token"]))
+    release(docs.sparkSession)
     few = rows.where(~F.col("many")).unionByName(often.where(~F.col("many")))
     few = few.groupBy("token").agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("sets"))
     size = lambda x: x["n"].cast("long")
@@ -182,12 +199,16 @@ def _candidates(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     later = lambda x, i: F.filter(F.slice("sets", i + 2, F.size("sets")), lambda y: fits(x, y))
     pairs = F.flatten(F.transform("sets", lambda x, i: F.transform(later(x, i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     met = few.select(F.explode(pairs).alias("p")).groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("shared"))
-    whole = 100 + join.percent
-    needed = F.floor((join.percent * (size(F.col("x")) + size(F.col("y"))) + whole - 1) / whole)
-    met = met.where(F.col("shared") >= F.least(F.lit(SHARED), needed)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    enough, _ = join.split(size(F.col("x")), size(F.col("y")))
+    met = met.where(F.col("shared") >= enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # A set's smallest partner asks for the least.
+    _, enough = join.split(F.floor((join.percent * F.col("n").cast("long") + 99) / 100), F.col("n").cast("long"))
+    often = often.where("many")
+    rich = often.groupBy("node", "n").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") >= enough)
+    often = skew_join(often, rich.select("node", "n"), ["node", "n"])
     c = _size_class(F.col("n"), join.percent)
     salt = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(SALTS)).alias("salt")
-    many = often.where("many").select("token", "node", salt, F.explode(F.array(c, c + 1)).alias("c"))
+    many = often.select("token", "node", salt, F.explode(F.array(c, c + 1)).alias("c"))
     centres = many.groupBy("token", "c", "salt").agg(F.min("node").alias("centre"))
     hubs = centres.groupBy("token", "c").agg(F.min("centre").alias("hub"))
     near = many.join(centres, ["token", "c", "salt"]).select(F.col("node").alias("a"), F.col("centre").alias("b"))
@@ -432,13 +453,16 @@ def _rooted(docs: DataFrame, join: Join) -> DataFrame:
     described = cut(_describe(docs, join))
     base = described.where(F.col("slice").isNull()).select("k", "n", "node", "half")
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(described))
+    release(docs.sparkSession)
     comps = star_components(_candidates(docs, join, shared), cut)
+    release(docs.sparkSession)
     roots = comps.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()
     members = comps.select("node", F.col("root").alias("comp")).unionByName(roots).withColumnRenamed("node", "half")
     # Sets that share half a fingerprint are members both, as nodes of their own from here on.
     chosen = base.where(F.col("n") > 0).groupBy("half", "node", "n").agg(F.min("k").alias("k"))
     members = cut(members.join(chosen, "half").drop("half"))
     verified = cut(_verified(docs, members, join, shared))
+    release(docs.sparkSession)
     whole = verified.where("whole").where(F.col("node") != F.col("root")).select("node", "root")
     pieces = verified.where(~F.col("whole"))
     if not pieces.isEmpty():

@@ -355,3 +355,40 @@ def test_components_are_the_same_however_many_tasks_see_the_copies(spark):
     want = {i: 0 for i, _ in copies} | {i: 1000 for i, _ in near} | {i: i for i, _ in alone}
     for partitions in (1, 50):
         assert {r.doc_id: r.component_id for r in components(df.repartition(partitions)).collect()} == want
+
+
+@pytest.mark.parametrize("join", [ngram_join.Join(), ngram_join.Join(5, 80)])
+def test_passages_that_long_sets_share_tie_none_together(spark, join):
+    """What a chain of long texts, or all of them, share by chance makes no candidate component, and near copies still link."""
+    own = [" ".join(f"v{i}_{j}" for j in range(2000)) for i in range(40)]
+    chain = [" ".join(f"p{i}_{j}" for j in range(25)) for i in range(41)]
+    common = " ".join(f"c{j}" for j in range(30))
+    texts = [f"{chain[i]} {own[i]} {common} {chain[i + 1]}" for i in range(40)]
+    long = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    flat = spark.sparkContext.broadcast(np.zeros(ngram_join.SKETCH, np.int64))  # an order that tells common shingles from none
+    assert ngram_join._candidates(long, join, flat).count() == 0
+    near = [(100 + i, t.replace("_7 ", f"_7x{i} ").replace("_900 ", "_900x ")) for i, t in enumerate(texts)]
+    many = [(200 + i, f"{texts[3]} {texts[3][:200]} z{i} z") for i in range(40)]  # more sets than FEW
+    both = long.union(spark.createDataFrame(near + many, "doc_id long, text string"))
+    want = {i: i % 100 for i in (*range(40), *range(100, 140))} | {i: 3 for i, _ in many}
+    assert {r.doc_id: r.component_id for r in ngram_join.components(both, join).collect()} == want
+
+
+def test_prefixes_of_linked_sets_share_what_is_asked():
+    """For pairs at the threshold, in random orders: enough shingles of few sets, or enough of many, wherever the line is."""
+    rng = np.random.default_rng(4)
+    for join in (ngram_join.Join(), ngram_join.Join(5, 80)):
+        for a in [*range(1, 40), 100, 127, 128, 300, 999, 2600]:
+            for b in {a, min(a + 1, a * 100 // join.percent), a * 100 // join.percent}:
+                needed = int(join.needed(a, b))
+                if needed > a:
+                    continue
+                order = rng.permutation(a + b - needed)
+                x, y = np.sort(order[:a]), np.sort(order[a - needed :])
+                px, py = x[: join.prefix(np.array([a]))[0]], y[: join.prefix(np.array([b]))[0]]
+                shared = min(int(ngram_join._shared(a)), needed)
+                assert len(np.intersect1d(px, py)) >= shared
+                many = max(shared // 2, 1)
+                low = (join.percent * b + 99) // 100
+                least = max(min(int(ngram_join._shared(low)), int(join.needed(low, b))) // 2, 1)
+                assert low <= a and least <= many  # both sets reach the star
