@@ -2,19 +2,22 @@
 
 Every stage takes (spark, docs, sf_dir) and returns what it keeps; all but the
 last return the columns of ``docs``. A stage's result is written as Parquet and
-read again as the next one's documents.
+read again as the next one's documents; it is deleted when the next is written.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from partgraph.llm.common import documents, table, written
+from partgraph.llm.common import documents, release, shared_folder, table
 from partgraph.llm.decontaminate import decontaminate
 from partgraph.llm.line_dedup import PASSAGE_WORDS, without_copied_lines
 from partgraph.llm.mix import emit, mix
 from partgraph.llm.ngram_join import Join, keep_one
 from partgraph.llm.quality import keep_good
+from partgraph.plans.lineage import discard
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +59,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
-    docs = documents(spark, sf_dir)
+    docs, folder = documents(spark, sf_dir), f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
-            docs = written(docs, f"stage{number}")
+            docs.write.parquet(f"{folder}/stage{number}.parquet")
+            docs = spark.read.parquet(f"{folder}/stage{number}.parquet")
+            discard(f"{folder}/stage{number - 1}.parquet", spark)
+            release(spark)
     return docs

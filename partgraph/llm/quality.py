@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partgraph.llm.common import (
-    ALNUM, BLOCK_BYTES, NONSPACE, cut, documents, hashed_words, small_batches, table, text_blocks, unused, with_text, written,
+    ALNUM, BLOCK_BYTES, NONSPACE, cut, documents, hashed_words, small_batches, table, text_blocks, unused, with_text,
 )
 
 #: Random features; their scale (a kernel width in standard deviations); ridge.
@@ -268,16 +268,15 @@ def score_of(model: Model, name: str) -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier, fitted on their labelled rows, rejects.
 
-    Texts are gone over once: their stats are written beside the other columns, and
-    the fit and the scores read those. Null and empty texts are scored like others;
+    Texts are gone over twice, for the fit and for the scores, and written nowhere: a
+    file of them would lie on disk until the last stage. Null and empty texts are scored like others;
     equal rows and rows of a null doc_id are scored each; a text of any length is
     counted in pieces; further columns stay as they are, whatever their names; no
     rows give no rows.
     """
     name = unused(docs, "stats")
-    kept = written(with_stats(docs, name), "stats")
-    model = fit(kept.select("doc_id", F.col(name).alias("stats")), labels)
-    return kept.where(score_of(model, name) >= KEEP_FROM).drop(name)
+    model = fit(stats(docs), labels)
+    return with_stats(docs, name).where(score_of(model, name) >= KEEP_FROM).drop(name)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

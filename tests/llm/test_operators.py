@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -392,3 +393,18 @@ def test_prefixes_of_linked_sets_share_what_is_asked():
                 low = (join.percent * b + 99) // 100
                 least = max(min(int(ngram_join._shared(low)), int(join.needed(low, b))) // 2, 1)
                 assert low <= a and least <= many  # both sets reach the star
+
+
+def test_stages_leave_no_texts_behind(spark):
+    """What lies in the shared folder while a stage runs is its own: neither the classifier's texts nor earlier stages."""
+    import corpus_pipeline as p
+    from partgraph.llm.common import shared_folder
+
+    top = Path(shared_folder(spark).removeprefix("file:"))
+    files = lambda: {f.name for f in top.rglob("*.parquet")}
+    before = files()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert p.quality(spark, docs, SF).count() and files() == before
+    folders = {f for f in top.rglob("stage*.parquet")}
+    assert p.run(spark, SF).count()
+    assert {f.name for f in set(top.rglob("stage*.parquet")) - folders} == {"stage4.parquet"}
