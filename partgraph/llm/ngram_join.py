@@ -17,6 +17,7 @@ from partgraph.llm.common import (
     NONSPACE, cut, distinct_shingles, documents, kept_while, mix, release, row_key, skew_join, text_blocks, unused, utf8_column, with_text,
 )
 from partgraph.operators.star_components import star_components
+from partgraph.plans.lineage import measured_cut
 
 #: Slots of the fixed-size count sketch that orders shingles, and its slices.
 SKETCH, SLICES = 1 << 18, 16
@@ -454,7 +455,8 @@ def _rooted(docs: DataFrame, join: Join) -> DataFrame:
     base = described.where(F.col("slice").isNull()).select("k", "n", "node", "half")
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(described))
     release(docs.sparkSession)
-    comps = star_components(_candidates(docs, join, shared), cut)
+    # Each of its rounds joins twice: only counted sizes keep the planner's numbers from growing fourfold in digits a round.
+    comps = star_components(_candidates(docs, join, shared), measured_cut)
     release(docs.sparkSession)
     roots = comps.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()
     members = comps.select("node", F.col("root").alias("comp")).unionByName(roots).withColumnRenamed("node", "half")
@@ -467,7 +469,7 @@ def _rooted(docs: DataFrame, join: Join) -> DataFrame:
     pieces = verified.where(~F.col("whole"))
     if not pieces.isEmpty():
         edges = pieces.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        whole = whole.unionByName(star_components(edges, cut))
+        whole = whole.unionByName(star_components(edges, measured_cut))
     named = base.join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named.select("k", "n", "root")
 

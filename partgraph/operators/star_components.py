@@ -20,7 +20,8 @@ def star_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], mos
     """(node, root) for every vertex that is not the smallest of its component.
 
     ``edges`` has columns a and b of one orderable type; direction, repeats and
-    self-loops don't matter. ``cut`` truncates lineage (a checkpoint). Minima are
+    self-loops don't matter. ``cut`` truncates lineage (a checkpoint); where rounds are
+    many it should count sizes too (``measured_cut``). Minima are
     aggregated before they are joined back, so a vertex with very many links is
     split by the skew join rather than gathered. No edges give no rows.
     """

@@ -375,6 +375,16 @@ def test_passages_that_long_sets_share_tie_none_together(spark, join):
     assert {r.doc_id: r.component_id for r in ngram_join.components(both, join).collect()} == want
 
 
+def test_estimates_do_not_grow_with_star_rounds(spark, monkeypatch):
+    """Each round of stars made the digits of the planner's estimate four times as many, until the driver's memory was full of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4000)  # both calls of the stars
+    words = [f"w{i}" for i in range(200)]
+    chain = [(i, " ".join(words[4 * i : 4 * i + 80])) for i in range(8)]  # each links with the next only
+    out = ngram_join.components(spark.createDataFrame(chain, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(i, 0) for i in range(8)}
+    assert int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10**400
+
+
 def test_prefixes_of_linked_sets_share_what_is_asked():
     """For pairs at the threshold, in random orders: enough shingles of few sets, or enough of many, wherever the line is."""
     rng = np.random.default_rng(4)
