@@ -385,6 +385,25 @@ def test_estimates_do_not_grow_with_star_rounds(spark, monkeypatch):
     assert int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10**400
 
 
+def test_estimates_of_the_pipelines_join_stay_small(spark, monkeypatch):
+    """No checkpoint of the pipeline's third stage has an estimate whose digits grew with the rounds of the stars."""
+    import corpus_pipeline as p
+
+    sizes, cut = [], ngram_join.cut
+
+    def seen(df):
+        sizes.append(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return cut(df)
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 4000)
+    monkeypatch.setattr(ngram_join, "cut", seen)
+    words = [f"w{i}" for i in range(200)]
+    chain = [(i, " ".join(words[4 * i : 4 * i + 80])) for i in range(8)]
+    docs = spark.createDataFrame(chain, "doc_id long, text string")
+    assert [r.doc_id for r in p.near_duplicates(spark, docs, SF).collect()] == [0]
+    assert len(sizes) > 4 and max(sizes) < 10**400
+
+
 def test_prefixes_of_linked_sets_share_what_is_asked():
     """For pairs at the threshold, in random orders: enough shingles of few sets, or enough of many, wherever the line is."""
     rng = np.random.default_rng(4)
